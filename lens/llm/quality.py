@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lens.llm.common import BLANK, U64, byte_set, mixed, plain, rows_of, small_batches, span_hashes, spans, table, utf8, window_hashes
 
 #: n-gram length and the most of a text's word characters, in hundredths, that may be inside repeats of earlier n-grams
-NGRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+NGRAM_LIMITS = {5: 25, 6: 24, 7: 23, 8: 22, 9: 21, 10: 20}
 #: the most, in hundredths, of word characters that may be in lines equal to an earlier one
 LINE_LIMIT = 30
 MIN_WORDS = 50
