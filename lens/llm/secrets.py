@@ -176,7 +176,8 @@ def _joined(found: Column, rules: tuple[Rule, ...]) -> Column:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(table(spark, sf_dir, "documents"))
     base = [k for k, r in enumerate(RULES) if r.base]
-    counts = [F.size(F.filter("found", lambda x, k=k: x["rule"] == k)).cast("long").alias(f"n_{RULES[k].kind}") for k in base]
+    of = lambda k: F.size(F.filter("found", lambda x: x["rule"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{RULES[k].kind}") for k in base]
     sha = F.sha2(_joined(F.filter("found", lambda x: x["rule"] <= max(base)), RULES), 256).alias("base_sha256")
     return found.select("doc_id", *counts, sha, _joined(F.col("found"), RULES).alias("spans"))
 
