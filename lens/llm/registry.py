@@ -1,7 +1,7 @@
 """The queries of the operators here, and their SQL."""
 
-from lens.llm import decontaminate, quality, secrets
+from lens.llm import decontaminate, pii, quality, secrets
 
-MODULES = (secrets, decontaminate, quality)
+MODULES = (pii, secrets, decontaminate, quality)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
