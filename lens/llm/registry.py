@@ -1,7 +1,7 @@
 """The queries of the operators here, and their SQL."""
 
-from lens.llm import chat, decontaminate, pii, quality, secrets, warc
+from lens.llm import chat, decontaminate, packing, pii, quality, secrets, warc
 
-MODULES = (pii, secrets, decontaminate, warc, quality, chat)
+MODULES = (pii, secrets, decontaminate, packing, warc, quality, chat)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
