@@ -95,7 +95,9 @@ def opened(archive: bytes):
 def dictionary(pages: DataFrame, date: str) -> bytes:
     """From the records of SAMPLE_ROWS pages, those of least hash; their bytes as they are if there are too few to train on."""
     some = pages.select(F.xxhash64("page_id", "url").alias("rank"), "page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html"))
-    got = [record(r["page_id"], r["url"], (r["html"] or "").encode(), None, date) for r in some.orderBy("rank", "page_id").limit(SAMPLE_ROWS).collect()]
+    least = some.select("rank").distinct().orderBy("rank").limit(SAMPLE_ROWS).agg(F.max("rank")).first()[0]  # so that only these pages' texts are sent
+    chosen = some.where(F.col("rank") <= (0 if least is None else least)).dropDuplicates(["rank"]).orderBy("rank")
+    got = [record(r["page_id"], r["url"], (r["html"] or "").encode(), None, date) for r in chosen.collect()]
     try:
         return zstd.train_dictionary(DICT_BYTES, got).as_bytes()
     except (zstd.ZstdError, ValueError):
