@@ -153,18 +153,23 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.select("doc_id", F.array_sort(F.concat(*each)).alias("found"))
 
 
+def _rebuilt(least: int) -> Callable[[Column], Column]:
+    """The text from its gaps and matches, with those that count replaced."""
+
+    def text(p: Column) -> Column:
+        shown = F.zip_with(p["all"], p["group"], lambda m, g: F.when(F.length(g) >= least, F.lit(REDACTED)).otherwise(m))
+        return F.array_join(F.zip_with(p["gap"], shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return text
+
+
 def redacting(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with each secret in a text replaced by REDACTED, one rule after the other; other columns as they are."""
     rows, names = _may_match(docs, rules), docs.columns
     for k, r in enumerate(rules):
         text = F.col("text")
         parts = F.struct(F.split(text, r.regex, -1).alias("gap"), F.regexp_extract_all(text, F.lit(r.regex), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(r.regex), F.lit(r.group)).alias("group"))
-
-        def rebuilt(p: Column, least: int = r.least) -> Column:
-            shown = F.zip_with(p["all"], p["group"], lambda m, g: F.when(F.length(g) >= least, F.lit(REDACTED)).otherwise(m))
-            return F.array_join(F.zip_with(p["gap"], shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-
-        rows = rows.withColumn("text", F.when(_asked(k, r, text), let(parts, rebuilt)).otherwise(text))
+        rows = rows.withColumn("text", F.when(_asked(k, r, text), let(parts, _rebuilt(r.least))).otherwise(text))
     return rows.select(*names)
 
 
