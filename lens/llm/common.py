@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes as well as by rows: one text can be a thousand times another."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -97,7 +97,7 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 def _grown(n: int) -> None:
     if len(_powers[0]) <= n:
-        size = 1 << int(n + 1).bit_length()
+        size = n + n // 8 + 1
         inverse = U64(pow(int(_BASE), -1, 1 << 64))
         for k, factor in enumerate((_BASE, inverse)):
             run = np.full(size, factor, U64)
