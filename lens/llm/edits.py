@@ -1,5 +1,8 @@
 """Token counts that follow edits: each document has a segment tree over its pre-tokens, whose sums are characters and
-tokens. An edit re-encodes the pre-tokens that it touches and one on either side, and updates the sums above them."""
+tokens. An edit re-encodes the pre-tokens that it touches and one on either side, and updates the sums above them.
+
+Pre-tokens are the encoder's units, found for whole batches. Where an edit leaves what may begin a special token's string,
+the words around it are joined to one pre-token, which is how the encoder takes them."""
 
 from __future__ import annotations
 
@@ -13,38 +16,33 @@ from pyspark.sql import functions as F
 
 from lens.llm.common import plain, small_batches, table
 from lens.llm.packing import vocabulary
-from lens.llm.tokens import WordEncoder
+from lens.llm.tokens import WordEncoder, word_encoder
 
 SCHEMA = "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_reencoded_chars long, n_chars_after long"
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_WORD, _BLANK = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]")
 
 Edit = tuple[int, int, str]  # from, to, and what comes there instead, in code points of the text as it is by then
 
 
-def word_counts(encoder: WordEncoder, text: str) -> tuple[list[int], list[int]]:
-    """Where each pre-token's leaf starts, and its tokens. A leaf is a word with the blanks behind it; the first one also has
-    those before it."""
-    found = [(m.start(), m[0]) for m in _WORD.finditer(text)]
-    known = encoder.counts([w for _, w in found])
-    return [0, *(a for a, _ in found[1:])], known
-
-
 class CountTree:
-    """A text's pre-tokens, with sums over ranges of them. Tokenizers that drop blanks encode words by themselves."""
+    """A text's pre-tokens, with sums over ranges of them. A leaf is a pre-token with the blanks behind it; the first one also
+    has those before it. `leaves`: the text's, if they are known already."""
 
-    def __init__(self, encoder: WordEncoder, text: str) -> None:
+    def __init__(self, encoder: WordEncoder, text: str, leaves: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.encoder, self.source, self.changed = encoder, text, {}
-        self.starts, counts = word_counts(encoder, text)
-        counts = counts or [0]
-        self.leaves = 1 << (len(counts) - 1).bit_length()
-        level = np.zeros((self.leaves, 2), np.int64)
-        level[: len(counts), 0] = np.diff([*self.starts, len(text)])
-        level[: len(counts), 1] = counts
-        levels = [level]
-        while len(level) > 1:
-            level = level[0::2] + level[1::2]
-            levels.append(level)
-        self.sums = np.concatenate([np.zeros((1, 2), np.int64), *reversed(levels)])  # node k has 2k and 2k + 1 below it
+        starts, counts = leaves or encoder.leaves(pa.array([text]))[0]
+        n = max(1, len(starts))
+        self.bounds = np.zeros(n + 1, np.int64)
+        self.bounds[1:-1], self.bounds[-1] = starts[1:], len(text)
+        self.leaves = 1 << (n - 1).bit_length()
+        self.sums = np.zeros((2 * self.leaves, 2), np.int64)  # node k has 2k and 2k + 1 below it
+        self.sums[self.leaves : self.leaves + n, 0] = self.bounds[1:] - self.bounds[:-1]
+        self.sums[self.leaves : self.leaves + len(counts), 1] = counts
+        level = self.leaves
+        while level > 1:
+            np.add(self.sums[level : 2 * level : 2], self.sums[level + 1 : 2 * level : 2], out=self.sums[level // 2 : level])
+            level //= 2
+        self.up = np.arange(self.leaves.bit_length())  # from a leaf to the root
         self.reencoded = 0
 
     @property
@@ -69,21 +67,18 @@ class CountTree:
     def text_of(self, leaf: int) -> str:
         if leaf in self.changed:
             return self.changed[leaf]
-        if leaf >= len(self.starts):
+        if leaf >= len(self.bounds) - 1:
             return ""
-        return self.source[self.starts[leaf] : self.starts[leaf + 1] if leaf + 1 < len(self.starts) else len(self.source)]
+        return self.source[self.bounds[leaf] : self.bounds[leaf + 1]]
 
     def put(self, leaf: int, text: str, tokens: int) -> None:
         self.changed[leaf] = text
         node = leaf + self.leaves
-        delta = np.array([len(text), tokens]) - self.sums[node]
-        while node:
-            self.sums[node] += delta
-            node //= 2
+        self.sums[node >> self.up] += (len(text), tokens) - self.sums[node]
 
     def edit(self, start: int, end: int, new: str) -> None:
         if not self.chars:
-            self.put(0, new, sum(self.encoder.counts([m[0] for m in _WORD.finditer(new)])))
+            self.put(0, new, self._tokens(new))
             self.reencoded += len(new)
             return
         first, before = self.leaf_at(start)
@@ -95,12 +90,24 @@ class CountTree:
             last, at = self.leaf_at(after)
         region = "".join(self.text_of(k) for k in range(first, last + 1))
         region = region[: start - before] + new + region[end - before :]
-        self.put(first, region, sum(self.encoder.counts([m[0] for m in _WORD.finditer(region)])))
+        if "<|" in region:
+            while before and not _BLANK.match(region):
+                leaf, before = self.leaf_at(before - 1)
+                if _BLANK.match(text := self.text_of(leaf), len(text) - 1):
+                    break
+                first, region = leaf, text + region
+            while (after := at + int(self.sums[last + self.leaves, 0])) < self.chars and not _BLANK.match(region, max(0, len(region) - 1)):
+                last, at = self.leaf_at(after)
+                region += self.text_of(last)
+        self.put(first, region, self._tokens(region))
         for k in range(first + 1, last + 1):
             if self.sums[k + self.leaves].any():
                 self.put(k, "", 0)
         self.reencoded += len(region)
 
+    def _tokens(self, text: str) -> int:
+        return sum(self.encoder.counts(_WORD.findall(text)))
+
     def text(self) -> str:
         return "".join(self.text_of(k) for k in range(self.leaves))
 
@@ -123,11 +130,11 @@ def edited_counts(docs: DataFrame, tokenizer: str, edits=usual_edits) -> DataFra
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         for batch in batches:
             rows = []
-            for doc_id, rank, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                tree = CountTree(encoder, text or "")
+            for doc_id, rank, text, leaves in zip(*(batch.column(k).to_pylist() for k in range(3)), encoder.leaves(batch.column(2)), strict=True):
+                tree = CountTree(encoder, text or "", leaves)
                 before, todo = tree.tokens, edits(rank & (2**63 - 1), tree.chars)
                 for start, end, new in todo:
                     tree.edit(min(start, tree.chars), min(max(start, end), tree.chars), new)

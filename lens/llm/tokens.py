@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -48,6 +49,10 @@ class WordEncoder:
 
     def units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """For each unit its row and its place among the batch's distinct units, and these units' ids as bytes."""
+        return self._cut(column)[:3]
+
+    def _cut(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """What units() returns, and the byte where each unit starts."""
         data, at = utf8(column)
         kind = _CLASS[data]
         if special := b"<|" in data.tobytes():
@@ -65,7 +70,17 @@ class WordEncoder:
         first, full = np.flatnonzero(start), kind > 0
         ends = np.concatenate([[0], np.cumsum(full, dtype=np.int64)])[np.concatenate([first, [len(kind)]])]
         every = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[full]))]).dictionary_encode()
-        return rows_of(first, at), every.indices.to_numpy().astype(np.int64), self.encode(every.dictionary.to_pylist())
+        return rows_of(first, at), every.indices.to_numpy().astype(np.int64), self.encode(every.dictionary.to_pylist()), first
+
+    def leaves(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each row where its units start, in code points, and their tokens."""
+        row, index, distinct, first = self._cut(column)
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))[index] // 4
+        data, at = utf8(column)
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
+        starts = points[first] - points[at[row]]
+        ends = np.searchsorted(row, np.arange(1, len(column)))
+        return list(zip(np.split(starts, ends), np.split(sizes, ends), strict=True))
 
     def counts(self, words: list[str]) -> list[int]:
         """How many ids each word has; words that were met before aren't encoded again."""
@@ -108,3 +123,9 @@ class WordEncoder:
         after = np.cumsum(size)
         out = flat[np.arange(after[-1] if len(after) else 0) + np.repeat(begins[index] - after + size, size)]
         return out, np.concatenate([[0], after[np.flatnonzero(index == len(distinct) - 1)]])
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker process, which then share what it knows."""
+    return WordEncoder(path)
