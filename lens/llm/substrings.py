@@ -24,6 +24,7 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # anchors that a window may have; windows that an anchor may be in
 AROUND = LENGTH + SPAN - 1  # bytes from the first of these windows to the end of the last
 ANCHORS_A_BUCKET, SHARD, BYTES_A_GROUP = 400_000, 20_000, 16 << 20
+FIRST = 7  # symbols of 9 bits in a 64-bit key
 LAST = 2**63 - 1  # the order of rows without a doc_id: behind all others
 _ENTRY = np.dtype([("rest", "<u4"), ("key", "<i8")])
 _ASKED = np.dtype([("key", "<i8"), ("anchor", "<u8")])
@@ -79,15 +80,18 @@ def _together(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order and ranks of all suffixes of the rows of a matrix (0: behind a row's end). Suffixes are sorted by four symbols,
+    """Order and ranks of all suffixes of the rows of a matrix (0: behind a row's end). Suffixes are sorted by FIRST symbols,
     then sets of equal ones again by the rank of what follows, which doubles the depth each time."""
     rows, width = symbols.shape
     n = rows * width
-    wide = np.concatenate([symbols, np.zeros((rows, 4), np.uint16)], 1).astype(U64)
-    key = (wide[:, :-4] << U64(48) | wide[:, 1:-3] << U64(32) | wide[:, 2:-2] << U64(16) | wide[:, 3:-1]).reshape(-1)
-    order = np.argsort(key, kind="stable")
+    wide = np.concatenate([symbols, np.zeros((rows, FIRST), np.uint16)], 1).astype(U64)
+    key = np.zeros((rows, width), U64)
+    for k in range(FIRST):
+        key = key << U64(9) | wide[:, k : k + width]
+    key = key.reshape(-1)
+    order = np.argsort(key)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    depth = 4
+    depth = FIRST
     column, size_of = np.arange(n) % width, (symbols != 0).sum(1)
     while True:
         start = np.flatnonzero(new)
