@@ -42,11 +42,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lens/{name}-{uuid.uuid4().hex}"
 
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, read back. A lost executor costs only the tasks it ran."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts the lineage: df as a table in the shared folder, read back. A lost executor costs only the tasks it ran. The
+    shuffle files of the plan go once the table is there."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
