@@ -89,7 +89,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(FIRST):
         key = key << U64(9) | wide[:, k : k + width]
     key = key.reshape(-1)
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable")  # the walk for common prefixes needs equal suffixes in the order of their places
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     depth = FIRST
     column, size_of = np.arange(n) % width, (symbols != 0).sum(1)

@@ -233,3 +233,24 @@ def test_pipeline(spark, tmp_path, docs):
     assert got == {1, 11, None}  # 2 and 3 are like 1; 4 and 12 hold the benchmark's passage; others are too short
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("shard", [7, 1000])
+def test_covers_with_many_equal_suffixes(shard):
+    """Suffixes that are equal to their ends must keep the order of their places, in one shard and across shards."""
+    from lens.llm import substrings as S
+
+    rng = np.random.default_rng(3)
+    base = [rng.integers(97, 100, 30, dtype=np.uint8).tobytes() for _ in range(4)]
+    rows = np.zeros(200, S._AROUND)
+    for k in range(len(rows)):
+        raw = b"".join(base[j] for j in rng.integers(0, 4, 4))[rng.integers(0, 25) :][: rng.integers(40, S.AROUND + 1)]
+        rows[k] = (0, k, rng.integers(0, 60), 0, 0, len(raw), np.frombuffer(raw.ljust(S.AROUND, b"\0"), f"V{S.AROUND}")[0])
+    got = S.least_docs(rows, shard)
+    least: dict[bytes, int] = {}
+    windows = {(k, p): rows["bytes"][k].tobytes()[p : p + S.LENGTH] for k in range(len(rows)) for p in range(int(rows["size"][k]) - S.LENGTH + 1)}
+    for (k, _), w in windows.items():
+        least[w] = min(least.get(w, S.LAST), int(rows["doc"][k]))
+    for k in range(len(rows)):
+        for p in range(S.SPAN):
+            assert got[k, p] == (least[windows[k, p]] if (k, p) in windows else S.LAST)
