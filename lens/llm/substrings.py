@@ -23,7 +23,7 @@ from lens.llm.common import _TABLE, U64, mixed, plain, small_batches, table, utf
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # anchors that a window may have; windows that an anchor may be in
 AROUND = LENGTH + SPAN - 1  # bytes from the first of these windows to the end of the last
-ANCHORS_A_BUCKET, SHARD, BYTES_A_GROUP = 400_000, 20_000, 16 << 20
+ANCHORS_A_BUCKET, SHARD, BYTES_A_GROUP = 100_000, 20_000, 16 << 20  # what several documents have of a usual bucket is one shard
 FIRST = 7  # symbols of 9 bits in a 64-bit key
 LAST = 2**63 - 1  # the order of rows without a doc_id: behind all others
 _ENTRY = np.dtype([("rest", "<u4"), ("key", "<i8")])
