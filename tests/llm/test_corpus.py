@@ -242,15 +242,15 @@ def test_covers_with_many_equal_suffixes(shard):
 
     rng = np.random.default_rng(3)
     base = [rng.integers(97, 100, 30, dtype=np.uint8).tobytes() for _ in range(4)]
-    rows = np.zeros(200, S._AROUND)
+    rows = np.zeros(200, substrings._AROUND)
     for k in range(len(rows)):
-        raw = b"".join(base[j] for j in rng.integers(0, 4, 4))[rng.integers(0, 25) :][: rng.integers(40, S.AROUND + 1)]
-        rows[k] = (0, k, rng.integers(0, 60), 0, 0, len(raw), np.frombuffer(raw.ljust(S.AROUND, b"\0"), f"V{S.AROUND}")[0])
-    got = S.least_docs(rows, shard)
+        raw = b"".join(base[j] for j in rng.integers(0, 4, 4))[rng.integers(0, 25) :][: rng.integers(40, substrings.AROUND + 1)]
+        rows[k] = (0, k, rng.integers(0, 60), 0, 0, len(raw), np.frombuffer(raw.ljust(substrings.AROUND, b"\0"), f"V{substrings.AROUND}")[0])
+    got = substrings.least_docs(rows, shard)
     least: dict[bytes, int] = {}
-    windows = {(k, p): rows["bytes"][k].tobytes()[p : p + S.LENGTH] for k in range(len(rows)) for p in range(int(rows["size"][k]) - S.LENGTH + 1)}
+    windows = {(k, p): rows["bytes"][k].tobytes()[p : p + substrings.LENGTH] for k in range(len(rows)) for p in range(int(rows["size"][k]) - substrings.LENGTH + 1)}
     for (k, _), w in windows.items():
-        least[w] = min(least.get(w, S.LAST), int(rows["doc"][k]))
+        least[w] = min(least.get(w, substrings.LAST), int(rows["doc"][k]))
     for k in range(len(rows)):
-        for p in range(S.SPAN):
-            assert got[k, p] == (least[windows[k, p]] if (k, p) in windows else S.LAST)
+        for p in range(substrings.SPAN):
+            assert got[k, p] == (least[windows[k, p]] if (k, p) in windows else substrings.LAST)
