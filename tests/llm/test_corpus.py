@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lens.llm import substrings
+from lens.llm import ngram_join, substrings
 from lens.llm.chat import MARKS, format_turns, parse_turn, read_back, render_turn
 from lens.llm.edits import CountTree, edited_counts, usual_edits
 from lens.llm.ngram_join import divide_skip, similar_documents
@@ -120,11 +120,10 @@ def plain_components(rows):
         w = (t or "").lower().split()
         sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
     at = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     for _ in rows:
-        for i in range(len(rows)):
-            for j in range(len(rows)):
-                if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
-                    at[i] = at[j] = min(at[i], at[j])
+        for i, j in links:
+            at[i] = at[j] = min(at[i], at[j])
     out = []
     for i, (doc_id, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if at[j] == at[i] and rows[j][0] is not None]
@@ -147,6 +146,33 @@ def test_similar_documents(spark, docs, rows, nothing):
     assert sorted((tuple(r) for r in similar_documents(df).collect()), key=repr) == plain_components(more)
 
 
+def test_large_groups(spark, monkeypatch):
+    """Groups of many blocks: near copies, chains that only some members link, and texts that only share a passage."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng, passage = random.Random(16), [f"p{k}" for k in range(60)]
+    rows = []
+    for _ in range(70):
+        w = [f"w{k}" for k in range(100)]
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(100)] = f"x{rng.randrange(99)}"
+        rows.append(w)
+    rows += [passage + [f"own{rng.randrange(10**6)}" for _ in range(rng.randint(16, 24))] for _ in range(80)]
+    for k in range(40):  # each is like the next only
+        rows.append([f"c{j}" for j in range(8 * k, 8 * k + 80)])
+    more = [(500 - i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame(more, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in similar_documents(df).collect()), key=repr) == plain_components(more)
+
+
+def test_merge_skip():
+    rng = random.Random(17)
+    for _ in range(300):
+        lists = [sorted(rng.sample(range(30), rng.randint(0, 25))) for _ in range(rng.randint(0, 9))]
+        least = rng.randint(1, 6)
+        want = [(x, n) for x, n in sorted(Counter(x for v in lists for x in v).items()) if n >= least]
+        assert list(ngram_join.merge_skip(lists, least)) == want
+
+
 def test_divide_skip():
     rng = random.Random(7)
     sets = [np.array(sorted(rng.sample(range(60), rng.randint(1, 40))), np.uint64) for _ in range(80)] + [np.arange(40, dtype=np.uint64), np.arange(1, 41, dtype=np.uint64)]
