@@ -206,30 +206,76 @@ def test_substrings(docs, rows, nothing):
     assert substrings.repeated_substrings(nothing).count() == 0
 
 
+def strings(rng, n, high, longest):
+    sizes = rng.integers(1, longest, n)
+    flat = rng.integers(0, high, sizes.sum()).astype(np.uint8)
+    return flat, sizes, np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(8)
-    for high in (2, 3, 200):
-        symbols = rng.integers(1, high, (40, 23)).astype(np.uint16)
-        for k, size in enumerate(rng.integers(0, 24, 40)):
-            symbols[k, size:] = 0
-        order, _ = substrings.suffix_array(symbols)
-        text = [bytes(symbols.reshape(-1)[i : (i // 23 + 1) * 23].astype(np.uint8)).split(b"\0")[0] for i in order]
-        assert text == sorted(text)
-        shared = substrings.common_prefixes(symbols, order)
-        for k in range(1, len(text)):
-            a, b = text[k - 1], text[k]
-            assert shared[k] == next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
-
-
-def test_shards_merge_alike():
-    rng = np.random.default_rng(9)
-    around = np.zeros(60, substrings._AROUND)
-    pool = [bytes(rng.integers(0, 2, 80).astype(np.uint8)) for _ in range(4)]
-    for k in range(60):
-        shift = int(rng.integers(0, 20))
-        around[k]["bytes"] = pool[k % 4][shift:] + bytes(shift)
-        around[k]["size"], around[k]["doc"] = 80 - shift, k
-    assert (substrings.least_docs(around) == substrings.least_docs(around, 7)).all()
+    for high in (1, 2, 3, 200):
+        flat, sizes, remain = strings(rng, 40, high, 24)
+        order = substrings.suffix_array(flat, remain)
+        text = [flat[i : i + remain[i]].tobytes() for i in order]
+        assert text == sorted(text) and sorted(order) == list(range(len(flat)))
+        assert all(a < b for a, b, x, y in zip(order, order[1:], text, text[1:], strict=False) if x == y)
+        for least in (1, 7):
+            long = [t for t in text if len(t) >= least]
+            shared = substrings.common_prefixes(flat, remain, order, np.cumsum(sizes) - sizes, least)
+            for k in range(1, len(long)):
+                a, b = long[k - 1], long[k]
+                assert shared[k] == next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
+
+
+def test_anchors():
+    """Equal windows have equal anchors in the same place, and each window has one, the leftmost of the least hash."""
+    rng = np.random.default_rng(12)
+    texts = [bytes(rng.integers(97, 97 + high, n, dtype=np.uint8)) for high, n in ((1, 300), (2, 400), (3, 49), (3, 50), (20, 500), (1, 51), (26, 0))]
+    texts += [t[7:200] for t in texts] + [(b"abc" * 80)[k:] for k in (0, 1)]
+    at = np.cumsum([0, *map(len, texts)])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    place, hashes, low, high = substrings.anchors(data, at)
+    owner, seen = {}, {}
+    for p, h, a, b in zip(place.tolist(), hashes.tolist(), low.tolist(), high.tolist(), strict=True):
+        for s in range(a, b + 1):
+            assert s not in owner and 0 <= p - s < substrings.SPAN
+            owner[s] = (p - s, h)
+    for k, t in enumerate(texts):
+        for s in range(len(t) - substrings.LENGTH + 1):
+            assert seen.setdefault(t[s : s + substrings.LENGTH], owner[at[k] + s]) == owner[at[k] + s]
+    assert len(owner) == sum(max(0, len(t) - substrings.LENGTH + 1) for t in texts)
+
+
+@pytest.mark.parametrize("shard", [7, 1000])
+def test_shards(shard):
+    """Also with suffixes that are equal to their ends, in one shard and across shards."""
+    rng = np.random.default_rng(3)
+    base = [rng.integers(97, 100, 30, dtype=np.uint8).tobytes() for _ in range(4)]
+    rows = [b"".join(base[j] for j in rng.integers(0, 4, 4))[rng.integers(0, 25) :][: rng.integers(40, substrings.AROUND + 1)] for _ in range(200)]
+    docs = rng.integers(0, 60, 200)
+    got = substrings.least_docs(np.frombuffer(b"".join(rows), np.uint8), np.array([*map(len, rows)]), docs, shard)
+    least: dict[bytes, int] = {}
+    windows = {(k, p): raw[p : p + substrings.LENGTH] for k, raw in enumerate(rows) for p in range(len(raw) - substrings.LENGTH + 1)}
+    for (k, _), w in windows.items():
+        least[w] = min(least.get(w, substrings.LAST), int(docs[k]))
+    for k in range(len(rows)):
+        for p in range(substrings.SPAN):
+            assert got[k, p] == (least[windows[k, p]] if (k, p) in windows else substrings.LAST)
+
+
+def test_substrings_of_near_copies(spark):
+    rng = random.Random(18)
+    base = ["".join(rng.choice("abcde \n\0é") for _ in range(400)) for _ in range(3)]
+    rows = []
+    for i in range(60):
+        t = rng.choice(base)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(t))
+            t = t[:k] + rng.choice(["", "Z", base[0][:70]]) + t[k + rng.randint(0, 5) :]
+        rows.append((rng.choice([i, 3, None]), t))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in substrings.repeated_substrings(df).collect()), key=repr) == plain_removed(rows)
 
 
 def test_edits(encoder, docs, rows, nothing):
@@ -259,24 +305,3 @@ def test_pipeline(spark, tmp_path, docs):
     assert got == {1, 11, None}  # 2 and 3 are like 1; 4 and 12 hold the benchmark's passage; others are too short
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and corpus_pipeline.ORACLE_SQL is None
-
-
-@pytest.mark.parametrize("shard", [7, 1000])
-def test_covers_with_many_equal_suffixes(shard):
-    """Suffixes that are equal to their ends must keep the order of their places, in one shard and across shards."""
-    from lens.llm import substrings as S
-
-    rng = np.random.default_rng(3)
-    base = [rng.integers(97, 100, 30, dtype=np.uint8).tobytes() for _ in range(4)]
-    rows = np.zeros(200, substrings._AROUND)
-    for k in range(len(rows)):
-        raw = b"".join(base[j] for j in rng.integers(0, 4, 4))[rng.integers(0, 25) :][: rng.integers(40, substrings.AROUND + 1)]
-        rows[k] = (0, k, rng.integers(0, 60), 0, 0, len(raw), np.frombuffer(raw.ljust(substrings.AROUND, b"\0"), f"V{substrings.AROUND}")[0])
-    got = substrings.least_docs(rows, shard)
-    least: dict[bytes, int] = {}
-    windows = {(k, p): rows["bytes"][k].tobytes()[p : p + substrings.LENGTH] for k in range(len(rows)) for p in range(int(rows["size"][k]) - substrings.LENGTH + 1)}
-    for (k, _), w in windows.items():
-        least[w] = min(least.get(w, substrings.LAST), int(rows["doc"][k]))
-    for k in range(len(rows)):
-        for p in range(substrings.SPAN):
-            assert got[k, p] == (least[windows[k, p]] if (k, p) in windows else substrings.LAST)
