@@ -8,12 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lens.llm.common import BLANK, U64, byte_set, mixed, plain, rows_of, small_batches, span_hashes, spans, table, utf8, window_hashes
+from lens.llm import common
+from lens.llm.common import BLANK, U64, byte_set, mixed, plain, rows_of, small_batches, span_hashes, spans, table, utf8
 
-#: n-gram length and the most of a text's word characters, in hundredths, that may be inside repeats of earlier n-grams
-NGRAM_LIMITS = {5: 25, 6: 24, 7: 23, 8: 22, 9: 21, 10: 20}
+#: n-gram length and the most of a text's word characters, in hundredths, that may be inside repeats of earlier n-grams. Lines
+#: that repeat as a whole, such as license lines, count by LINE_LIMIT only.
+NGRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
 #: the most, in hundredths, of word characters that may be in lines equal to an earlier one
-LINE_LIMIT = 30
+LINE_LIMIT = 20
 MIN_WORDS = 50
 MAX_REPEAT_WORDS = 50
 SYMBOLS = byte_set(b"#*$%&|<>")
@@ -72,30 +74,24 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     again = _later(span_hashes(data, line[0][has], line[1][has]) + line_doc.astype(U64) * _MARK)
     out["n_dup_lines"] = _counted(line_doc[again], n)
     out["dup_line_chars"] = _counted(line_doc[again], n, line_chars[has[again]])
-
-    words = span_hashes(data, first, last)
-    size = len(words)
-    repeat = np.zeros(size, bool)
-    where = np.zeros(0, np.int64)
-    lengths = [3, *NGRAM_LIMITS]
-    for k in lengths:
-        if k == 3:
-            where = np.flatnonzero(doc[: max(0, size - 2)] == doc[2:])
-            hashes = window_hashes(words, 3)[where]
-        else:  # a repeated window begins with a repeated shorter one
-            where = where[where + k <= size]
-            where = where[doc[where] == doc[where + k - 1]]
-            hashes = words[where]
-            for j in range(1, k):
-                hashes = mixed(hashes * U64(0x9E3779B97F4A7C15) + words[where + j])
-        keys = hashes + doc[where].astype(U64) * _MARK
+    fresh = np.ones(len(line[0]), bool)
+    fresh[has[again]] = False
+
+    # One running sum over the words; the hash of a window of any length is what it grows by there, moved to place 0.
+    words, size = span_hashes(data, first, last), len(first)
+    common._grown(size)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(words * common._powers[0][:size])])
+    where = np.arange(size)
+    for k in (3, *NGRAM_LIMITS):  # a repeated window begins with a repeated shorter one
+        where = where[where + k <= size]
+        where = where[doc[where] == doc[where + k - 1]]
+        keys = mixed((sums[where + k] - sums[where]) * common._powers[1][where]) + doc[where].astype(U64) * _MARK
         twice = _twice(keys)
         where, keys = where[twice], keys[twice]
         if k == 3:
-            repeat = _covered(where, 3, size)
-            out["n_repeat_words"] = _counted(doc[repeat], n)
+            out["n_repeat_words"] = _counted(doc[_covered(where, 3, size)], n)
         else:
-            inside = _covered(where[_later(keys)], k, size)
+            inside = _covered(where[_later(keys)], k, size) & (fresh[line_of_word] if size else True)
             out[f"dup_chars_{k}"] = _counted(doc[inside], n, chars[inside])
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_WORDS * out["n_words"])
     kept = ~out["base_failed"] & (100 * out["dup_line_chars"] <= LINE_LIMIT * out["word_chars"])
@@ -116,7 +112,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text), in any number of partitions and without a shuffle.
 
     word_chars, n_symbols, n_dup_lines and n_repeat_words are the base figures; dup_line_chars and dup_chars_n count the
-    characters of words inside lines, or n-grams of words, that repeat an earlier one of the same text. kept is false for
+    characters of words inside lines, or n-grams of words outside such lines, that repeat an earlier one of the same text. kept is false for
     texts under 50 words, with over half their words in repeated 3-word windows, or with more characters in repeats than
     NGRAM_LIMITS and LINE_LIMIT allow. Null and empty texts have no words and aren't kept; a null doc_id stays null; equal
     rows each get a row; an empty table gives none; further columns are ignored.
@@ -145,7 +141,7 @@ def _sql() -> str:
     grams = " ".join(
         f""", g{n} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, {', '.join(f'lead_{j}' for j in range(n))} ORDER BY i) AS nth
             FROM (SELECT doc_id, i, w AS lead_0{''.join(f', lead(w, {j}) OVER (PARTITION BY doc_id ORDER BY i) AS lead_{j}' for j in range(1, n))} FROM words) t WHERE lead_{n - 1} IS NOT NULL)
-        , c{n} AS (SELECT w.doc_id, CAST(sum(length(w.w)) AS BIGINT) AS chars FROM words w
+        , c{n} AS (SELECT w.doc_id, CAST(sum(length(w.w)) FILTER (WHERE NOT w.again) AS BIGINT) AS chars FROM words w
             SEMI JOIN (SELECT doc_id, unnest(range(i, i + {n})) AS i FROM g{n} WHERE nth > 1) d ON w.doc_id = d.doc_id AND w.i = d.i GROUP BY w.doc_id)"""
         for n in NGRAM_LIMITS
     )
@@ -155,10 +151,11 @@ def _sql() -> str:
     return f"""
     WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
     , split AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM docs)
-    , words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM split)
-    , lines AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS nw,
-            length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth
-        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM docs) t)
+    , lines AS (SELECT doc_id, line, ln, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS ws, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS nw,
+            length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY ln) AS nth
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ln FROM docs) t)
+    , words AS (SELECT doc_id, w, again, row_number() OVER (PARTITION BY doc_id ORDER BY ln, k) AS i
+        FROM (SELECT doc_id, ln, nth > 1 AS again, unnest(ws) AS w, unnest(range(1, nw + 1)) AS k FROM lines WHERE nw > 0) t)
     , dups AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_dup_lines, CAST(sum(chars) AS BIGINT) AS dup_line_chars FROM lines WHERE nw > 0 AND nth > 1 GROUP BY doc_id)
     , tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS times
         FROM (SELECT doc_id, i, w AS a, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM words) t WHERE c IS NOT NULL)

@@ -12,6 +12,11 @@ def prose(seed: int, n: int) -> str:
     return " ".join(out)
 
 
+@pytest.fixture(scope="session")
+def text_of():
+    return prose
+
+
 @pytest.fixture(scope="session")
 def rows():
     base, other = prose(1, 200), prose(2, 120)

@@ -14,7 +14,7 @@ from lens.llm import ngram_join, substrings
 from lens.llm.chat import MARKS, format_turns, parse_turn, read_back, render_turn
 from lens.llm.edits import CountTree, edited_counts, usual_edits
 from lens.llm.ngram_join import divide_skip, similar_documents
-from lens.llm.packing import make_plan, pack, vocabulary
+from lens.llm.packing import Plan, make_plan, pack, vocabulary
 from lens.llm.tokens import WordEncoder
 from lens.llm.warc import digest, read_archives, write_archives
 
@@ -40,7 +40,9 @@ def test_plans():
     rng = random.Random(4)
     for draw in (lambda: rng.randint(1, 2048), lambda: rng.randint(300, 900), lambda: rng.choice([683, 1024, 1025, 2048]), lambda: min(2048, int(rng.lognormvariate(5, 1)) + 1)):
         counts = Counter(draw() for _ in range(4000))
-        plan, filled = make_plan(counts, groups=24), defaultdict(list)
+        plan, filled, plain = make_plan(counts), defaultdict(list), Plan(2048)
+        for length in sorted(counts, reverse=True):
+            plain.best_fit(length, counts[length])
         for length, first, last, base, each, offset in plan.ranges:
             for k in range(last - first):
                 filled[base + k // each].append((offset + k % each * length, length))
@@ -51,7 +53,7 @@ def test_plans():
                 place += length
             assert place <= 2048
         assert plan.used == dict(counts) and len(filled) == plan.sequences
-        assert plan.sequences <= 1.15 * sum(k * v for k, v in counts.items()) / 2048 + 1
+        assert -(-sum(k * v for k, v in counts.items()) // 2048) <= plan.sequences <= plain.sequences
     assert make_plan({}).sequences == 0
 
 

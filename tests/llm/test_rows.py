@@ -32,6 +32,34 @@ def test_quality(docs, rows, nothing):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3, 4, 11, None} and 15 not in {r.doc_id for r in kept.collect()}
 
 
+def test_repetition_alone_rejects(spark, text_of):
+    """Texts that the base figures let pass: what is inside repeated n-grams or lines decides, and one repeated line doesn't."""
+    fresh = text_of(21, 400).split()
+    passage, line = fresh[:30], " ".join(fresh[300:308])
+    texts = {
+        1: (" ".join(fresh[:300]), True),
+        2: (" ".join(fresh[30:130] + passage + fresh[130:160] + passage), False),  # 30 of 190 words are in repeated n-grams
+        3: (" ".join(fresh[30:290] + passage[:12] + fresh[290:330] + passage[:12]), True),  # 12 of 324
+        4: ("\n".join([line, " ".join(fresh[:60]), line]), True),  # a license line, twice
+        5: ("\n".join([line, " ".join(fresh[:40]), line, line]), False),  # 16 of 64 words
+    }
+    found = {r.doc_id: r for r in quality_rules(spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")).collect()}
+    assert not any(found[k].base_failed for k in texts)
+    assert {k: found[k].kept for k in texts} == {k: kept for k, (_, kept) in texts.items()}
+    for k, (text, _) in texts.items():
+        lines, seen, again, words = text.split("\n"), set(), [], text.split()
+        for x in lines:
+            again += [x in seen] * len(x.split())
+            seen.add(x)
+        for n in (5, 6, 7, 8, 9, 10):
+            grams, inside = set(), set()
+            for i in range(len(words) - n + 1):
+                if (g := tuple(words[i : i + n])) in grams:
+                    inside |= set(range(i, i + n))
+                grams.add(g)
+            assert found[k][f"dup_chars_{n}"] == sum(len(words[i]) for i in inside if not again[i])
+
+
 def test_decontamination(spark, docs, rows, nothing):
     items = [(1, rows[0][1][300:500]), (2, "one two"), (3, None), (4, " .,! "), (None, rows[3][1]), (5, rows[3][1][:300]), (5, "alpha")]
     benchmark = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, doc_id string")
