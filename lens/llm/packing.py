@@ -1,5 +1,7 @@
 """Packing by linear grouping: large pieces are rounded up within groups of equal size, a linear program over
 configurations of these few sizes is solved, actual pieces replace the rounded ones, and small pieces fit in best.
+Sequences that the actual pieces leave with more room than a limit are taken apart again, and their pieces are fitted like
+small ones; of several limits the one counts that needs the fewest sequences.
 
 Lengths are whole numbers up to the capacity, so a plan needs only how many pieces there are of each length. The plan is
 made on the driver, in memory and time that don't grow with the documents; it says for each length which ranks of pieces
@@ -22,8 +24,8 @@ from lens.llm.common import plain, small_batches, table, written
 from lens.llm.tokens import WordEncoder
 
 CAPACITY = 2048
-#: Pieces over this part of the capacity are large; they are rounded to so many sizes; the best plan counts.
-LARGE, GROUPS = 8, (24, 96)
+#: Pieces over this part of the capacity are large; they are rounded to so many sizes; sequences may be left with so much room.
+LARGE, GROUPS, ROOM = 8, (24, 96), (CAPACITY, 64, 16, 4, 0)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -35,6 +37,7 @@ class Plan:
     ranges: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)
     sequences: int = 0
     open: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # by free tokens: first sequence, how many
+    frees: int = 0  # the keys of open, as bits
     used: dict[int, int] = field(default_factory=dict)  # by length
 
     def new(self, n: int) -> int:
@@ -49,16 +52,18 @@ class Plan:
     def keep(self, free: int, base: int, bins: int) -> None:
         if free and bins:
             self.open.setdefault(free, []).append((base, bins))
+            self.frees |= 1 << free
 
     def best_fit(self, length: int, count: int) -> None:
         """Puts pieces of one length into the open sequences with the least room that will do, as many as go in; those of
         a kind at once."""
         while count:
-            free = min((f for f in self.open if f >= length), default=0)
-            if free:
+            if above := self.frees >> length:
+                free = length + (above & -above).bit_length() - 1
                 base, bins = self.open[free].pop()
                 if not self.open[free]:
                     del self.open[free]
+                    self.frees ^= 1 << free
             else:
                 free, each = self.capacity, self.capacity // length
                 bins = -(-count // each)
@@ -116,48 +121,67 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return [(basis[:, k].round().astype(np.int64), int(level[k] + 1e-6)) for k in range(n)]
 
 
-def make_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS[-1]) -> Plan:
-    """Where the pieces of each length go; counts: how many there are of each."""
-    plan, rest = Plan(capacity), dict(counts)
-    if full := rest.pop(capacity, 0):
-        plan.put(capacity, plan.new(full), full, 1, 0)
+def _configured(rest: dict[int, int], capacity: int, groups: int) -> list[tuple[int, list[tuple[int, int]], int]]:
+    """Sequences of large pieces by linear grouping: how many alike, the lengths in each and how many of it, and the room left."""
     large = sorted((x for x in rest if x > capacity // LARGE), reverse=True)
     total = sum(rest[x] for x in large)
-    if total:
-        runs: list[list[list[int]]] = [[]]  # for each group, [length, how many], longest first
-        share, room = -(-total // groups), -(-total // groups)
-        for length in large:
-            left = rest[length]
-            while left:
-                if not room:
-                    runs.append([])
-                    room = share
-                got = min(left, room)
-                runs[-1].append([length, got])
-                left, room = left - got, room - got
-        sizes, demand = np.array([g[0][0] for g in runs]), np.array([sum(c for _, c in g) for g in runs])
-        for config, times in sorted(configurations(sizes, demand, capacity), key=lambda x: -float(x[0] @ sizes)):
-            wanted = [(k, int(config[k])) for k in np.flatnonzero(config)]
-            while times:
-                times = min([times, *(sum(c for _, c in runs[k]) // each for k, each in wanted)])
-                if not times:
-                    break
-                same = min([times, *(runs[k][0][1] // each for k, each in wanted)])
-                bins = max(same, 1)
-                base, offset = plan.new(bins), 0
-                for k, each in wanted:
-                    for many in [each] if same else [1] * each:
-                        length = runs[k][0][0]
-                        plan.put(length, base, bins, many, offset)
-                        offset += many * length
-                        runs[k][0][1] -= bins * many
-                        if not runs[k][0][1]:
-                            runs[k].pop(0)
-                plan.keep(capacity - offset, base, bins)
-                times -= bins
-    for length in sorted(rest, reverse=True):
-        plan.best_fit(length, rest[length] - plan.used.get(length, 0))
-    return plan
+    if not total:
+        return []
+    runs: list[list[list[int]]] = [[]]  # for each group, [length, how many], longest first
+    share, room = -(-total // groups), -(-total // groups)
+    for length in large:
+        left = rest[length]
+        while left:
+            if not room:
+                runs.append([])
+                room = share
+            got = min(left, room)
+            runs[-1].append([length, got])
+            left, room = left - got, room - got
+    sizes, demand, out = np.array([g[0][0] for g in runs]), np.array([sum(c for _, c in g) for g in runs]), []
+    for config, times in sorted(configurations(sizes, demand, capacity), key=lambda x: -float(x[0] @ sizes)):
+        wanted = [(k, int(config[k])) for k in np.flatnonzero(config)]
+        while times:
+            times = min([times, *(sum(c for _, c in runs[k]) // each for k, each in wanted)])
+            if not times:
+                break
+            same = min([times, *(runs[k][0][1] // each for k, each in wanted)])
+            bins, parts = max(same, 1), []
+            for k, each in wanted:
+                for many in [each] if same else [1] * each:
+                    parts.append((runs[k][0][0], many))
+                    runs[k][0][1] -= bins * many
+                    if not runs[k][0][1]:
+                        runs[k].pop(0)
+            out.append((bins, parts, capacity - sum(length * many for length, many in parts)))
+            times -= bins
+    return out
+
+
+def make_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> Plan:
+    """Where the pieces of each length go; counts: how many there are of each."""
+    rest, best = dict(counts), None
+    full, least = rest.pop(capacity, 0), -(-sum(k * n for k, n in counts.items()) // capacity)
+    for many in groups:
+        configured = _configured(rest, capacity, many)
+        for most in ROOM:
+            plan = Plan(capacity)
+            if full:
+                plan.put(capacity, plan.new(full), full, 1, 0)
+            for bins, parts, room in configured:
+                if room <= most:
+                    base, offset = plan.new(bins), 0
+                    for length, each in parts:
+                        plan.put(length, base, bins, each, offset)
+                        offset += each * length
+                    plan.keep(room, base, bins)
+            for length in sorted(rest, reverse=True):
+                plan.best_fit(length, rest[length] - plan.used.get(length, 0))
+            if best is None or plan.sequences < best.sequences:
+                best = plan
+            if best.sequences == least:
+                return best
+    return best
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -201,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = CAPACITY
     pieces = written(pieces_of(docs, tokenizer, end, capacity, keep_ids), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = min((make_plan(counts, capacity, g) for g in GROUPS), key=lambda x: x.sequences)
+    plan = make_plan(counts, capacity)
     ranges = np.array(plan.ranges, np.int64).reshape(-1, 6)
     ranges = ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))]
     shared = pieces.sparkSession.sparkContext.broadcast(ranges)
