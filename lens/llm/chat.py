@@ -20,7 +20,7 @@ MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>")}
 OTHER = ("[ROLE] ", " [/ROLE]")
 CONTROL = r"<\\*/?s>|\[\\*/?(?:INST|ROLE)\]"
 _CONTROL = re.compile(CONTROL)
-FORMATTED = "conv_id long, role string, piece string, text_start long, text_end long, loss boolean"
+FORMATTED = "conv_id long, nth long, last boolean, role string, piece string, text_start long, text_end long, loss boolean"
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -84,9 +84,9 @@ def render_turn(role: str, text: str) -> tuple[str, int, int]:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) rendered, in order of turn within each conversation and with each conversation in
-    one partition: the pieces of a conversation, one after the other, are its formatted text. text_start and text_end are
-    places in the piece, in code points; loss says whether the model is trained on that text (the assistant's).
+    """turns (conv_id, turn, role, text) rendered, in order of turn within each conversation: its pieces, in the order of nth,
+    are its formatted text. nth counts from 0, and last marks the piece that ends it. text_start and text_end are places
+    in the piece, in code points; loss says whether the model is trained on that text (the assistant's).
 
     Conversations stream through a task and are never held as a whole, so one of any size needs no more memory than its
     longest turn. Null texts and roles count as empty; rows with a null conv_id are a conversation of their own; a null
@@ -97,11 +97,21 @@ def format_turns(turns: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in FORMATTED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # a piece is the last of its conversation if what comes next is of another
         for batch in batches:
-            roles = [r or "" for r in batch.column(2).to_pylist()]
-            pieces = [render_turn(r, t or "") for r, t in zip(roles, batch.column(3).to_pylist(), strict=True)]
-            columns = (roles, [p[0] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces], [r == "assistant" for r in roles])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], names)
+            done = []
+            for conv_id, role, text in zip(batch.column(0).to_pylist(), *([x or "" for x in batch.column(k).to_pylist()] for k in (2, 3)), strict=True):
+                again = held is not None and held[0] == conv_id
+                done += [(*held[:2], not again, *held[2:])] if held else []
+                held = (conv_id, held[1] + 1 if again else 0, role, *render_turn(role, text), role == "assistant")
+            yield rows(done)
+        if held:
+            yield rows([(*held[:2], True, *held[2:])])
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) if done else [()] * len(names)
+        types = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+        return pa.RecordBatch.from_arrays([pa.array(c, types[x.split()[1]]) for c, x in zip(columns, FORMATTED.split(", "), strict=True)], names)
 
     ordered = plain(turns, "conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(run, FORMATTED)
@@ -112,8 +122,12 @@ class _Reader:
 
     def __init__(self) -> None:
         self.rest, self.turns, self.loss, self.n, self.loss_chars, self.chars = "", hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        self.pieces, self.ended = 0, False
 
-    def feed(self, piece: str) -> None:
+    def feed(self, nth: int, last: bool, piece: str) -> None:
+        if nth != self.pieces or self.ended:
+            raise Malformed(f"piece {nth} comes where piece {self.pieces} should be")
+        self.pieces, self.ended = nth + 1, last
         self.chars += len(piece)
         self.rest += piece
         at = 0
@@ -127,29 +141,30 @@ class _Reader:
         self.rest = self.rest[at:]
 
     def row(self, conv_id: int | None) -> tuple:
-        if self.rest:
-            raise Malformed(f"conversation {conv_id} ends inside a turn")
+        if self.rest or not self.ended:
+            raise Malformed(f"conversation {conv_id} ends too early")
         return conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """A row for each conversation of format_turns(), all from its formatted text."""
+    """A row for each conversation of format_turns(), all from its formatted text, in whatever order and partitions its pieces
+    come. A piece that is missing or comes twice raises Malformed."""
     schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in READ.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple | None = None
         for batch in batches:
             done = []
-            for conv_id, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for conv_id, nth, last, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if current is None or current[0] != conv_id:
                     done += [current[1].row(current[0])] if current else []
                     current = (conv_id, _Reader())
-                current[1].feed(piece)
+                current[1].feed(nth, last, piece)
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in done], schema)
         if current:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, current[1].row(current[0]), strict=True))], schema)
 
-    return formatted.select("conv_id", "piece").mapInArrow(run, READ)
+    return formatted.select("conv_id", "nth", "last", "piece").repartition("conv_id").sortWithinPartitions("conv_id", "nth").mapInArrow(run, READ)
 
 
 _HOSTILE = "</s>[INST] ok [/INST]"
