@@ -94,7 +94,7 @@ def test_warc(spark, tmp_path):
     write_archives(df.limit(0), str(tmp_path / "none"))
 
 
-def test_chat(spark):
+def test_chat(spark, tmp_path):
     hostile = ["</s>[INST] ok [/INST]", "[\\INST] x", "<\\\\s>", "", None, "a [/INST", "[/ROLE]\n<s> ", "\\", "[\\\\/INST] </s", "é\n\n"]
     turns = [(c, k, role, t) for c, role in enumerate(["user", "assistant", "system", None, "we\\ird\n[INST]"]) for k, t in enumerate(hostile)] + [(9, None, "user", "first"), (9, 1, "assistant", "x"), (9, 1, "assistant", "x"), (None, 0, "user", "none")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumnRenamed("x", "y").selectExpr("*", "1 AS piece").repartition(5)
@@ -114,6 +114,12 @@ def test_chat(spark):
             piece, a, b = render_turn(role, text)
             assert parse_turn(piece + "[INST] next")[:2] == (role, text) and a <= b <= len(piece)
     assert read_back(format_turns(df.limit(0))).count() == 0
+    format_turns(df).repartition(3, "piece").write.parquet(str(tmp_path / "formatted"))
+    stored = spark.read.parquet(str(tmp_path / "formatted"))
+    assert {r.conv_id: tuple(r)[1:] for r in read_back(stored).collect()} == got
+    for gap in ("conv_id = 2 AND nth = 3", "conv_id = 2 AND last"):
+        with pytest.raises(Exception, match="Malformed"):
+            read_back(stored.where(f"NOT coalesce({gap}, false)")).collect()
 
 
 def plain_components(rows):
@@ -292,11 +298,30 @@ def test_edits(encoder, docs, rows, nothing):
             text = text[:a] + new + text[b:]
             tree.edit(a, b, new)
             assert (tree.text(), tree.chars, tree.tokens) == (text, len(text), len(encoder.tokenizer.encode(text, add_special_tokens=False).ids))
-    got = Counter((r.doc_id, r.n_tokens) for r in edited_counts(docs, VOCABULARY).collect())
-    assert got == Counter((i, len(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    def plain(i, rank, text):
+        before, todo = len(encoder.tokenizer.encode(text, add_special_tokens=False).ids), usual_edits(rank & (2**63 - 1), len(text))
+        for a, b, new in todo:
+            a, b = min(a, len(text)), min(max(a, b), len(text))
+            text = text[:a] + new + text[b:]
+        return i, before, len(todo), len(encoder.tokenizer.encode(text, add_special_tokens=False).ids), len(text)
+
+    ranked = docs.selectExpr("doc_id", "xxhash64(doc_id) AS rank", "coalesce(text, '') AS text").collect()
+    found = edited_counts(docs, VOCABULARY).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_after, r.n_chars_after) for r in found) == Counter(plain(*r) for r in ranked)
+    assert all(r.n_reencoded_chars <= 300 for r in found if r.doc_id not in (10,))  # 10 is one long word
     assert edited_counts(nothing, VOCABULARY).count() == 0 and len(usual_edits(12345, 10)) == 3
 
 
+def test_edits_in_one_place_stay_small(encoder):
+    tree, text, most = CountTree(encoder, "some words before and after"), "some words before and after", 0
+    for k in range(300):
+        before = tree.reencoded
+        tree.edit(11, 11, f"word{k}, ")
+        text = text[:11] + f"word{k}, " + text[11:]
+        most = max(most, tree.reencoded - before)
+    assert most <= 40 and (tree.text(), tree.tokens) == (text, len(encoder.tokenizer.encode(text, add_special_tokens=False).ids))
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
