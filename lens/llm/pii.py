@@ -3,7 +3,12 @@
 The patterns give the base spans. The field's nodes are the tokens with a digit or an at sign (any other token is taken to be
 plain text); nodes next to each other in the text are linked, and so are the nearest occurrences of the same or a similar
 token anywhere in the document. Loopy message passing over both kinds of links gives each node's label; nodes with a
-label, outside base spans, become further spans. Weights are fitted piecewise on the base spans of a bounded sample.
+label, outside base spans, become further spans.
+
+What a pattern has found is evidence at its own nodes. Weights are fitted piecewise on the base spans of a bounded sample,
+half of them hidden: a hidden mention shows its shape only, and counts once as itself and once as plain text. So shape
+never decides: a node outside base spans gets a label where links to others, mostly to distant mentions of the same
+number or address that a pattern has found, say so.
 """
 
 from __future__ import annotations
@@ -21,9 +26,11 @@ from lens.llm.common import byte_set, plain, rows_of, small_batches, table, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-#: The field is fitted on at most so many documents, and so many of the nodes of each.
+#: The field is fitted on at most so many documents, of those that have at most so many nodes.
 FIT_DOCS, FIT_NODES = 2000, 256
-ROUNDS, SURE = 8, 0.6
+ROUNDS, STILL, SURE = 30, 1e-4, 0.6
+#: So many pairs of similar tokens with the same label, for each label, are taken as seen before any.
+SAME = 9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -85,21 +92,25 @@ def base_spans(text: str) -> list[Span]:
 
 # Features of a node, by place in the list.
 _CUES = (re.compile(r"(?i)e?-?mail|contact|write"), re.compile(r"(?i)^ip|host|server|addr"), re.compile(r"(?i)card|visa|account|credit"), re.compile(r"(?i)phone|tel|call|fax|mobil"))
-N_FEATURES = 24
+#: The last features: what a base span says of a node (one for each kind), and before them those that look at other tokens.
+N_SHAPES, N_AROUND = 14, 6
+N_FEATURES = N_SHAPES + N_AROUND + len(KINDS)
 
 
 def _features(token: str, before: str, linked: bool) -> int:
-    d = _digits(token)
-    n = len(d)
+    n = len(_digits(token))
     tests = [
-        True, "@" in token, "@" in token and "." in token.rpartition("@")[2].strip("."), token.startswith("+"), "(" in token or ")" in token,
-        token.count(".") == 3 and token.replace(".", "").isdigit(), 1 <= n <= 2, 3 <= n <= 4, 5 <= n <= 9, 10 <= n <= 13, 14 <= n <= 19, n >= 20,
-        14 <= n <= 19 and luhn(d), n == len(token), "-" in token, any(c.isalpha() for c in token), ":" in token or "/" in token, before.endswith((":", "=")),
-        *(bool(c.search(before)) for c in _CUES), linked, "." in token,
+        True, "@" in token, "(" in token or ")" in token, n == 0, 1 <= n <= 2, 3 <= n <= 4, 5 <= n <= 9, 10 <= n <= 13, 14 <= n <= 19, n >= 20,
+        n == len(token), "-" in token, any(c.isalpha() for c in token), "." in token, before.endswith((":", "=")), linked, *(bool(c.search(before)) for c in _CUES),
     ]
     return sum(1 << k for k, x in enumerate(tests) if x)
 
 
+def _told(features: list[int], labels: list[int]) -> list[int]:
+    """The features with what the base spans say."""
+    return [f | 1 << N_SHAPES + N_AROUND + y - 1 if y else f for f, y in zip(features, labels, strict=True)]
+
+
 def _similar(token: str) -> str:
     """Tokens with the same of this are linked: the last digits of long numbers, else all letters and digits."""
     d = _digits(token)
@@ -152,11 +163,22 @@ def _design(features: np.ndarray) -> np.ndarray:
 
 def fit(samples: list[tuple[list[int], list[int], list[bool], list[str]]]) -> dict[str, np.ndarray]:
     """Weights from (features, labels, linked, keys) of documents: each factor by itself. Node weights by multinomial
-    regression, link weights by how much more often two linked nodes have their labels than chance has it."""
-    n = len(KINDS) + 1
-    features = np.array([f for s in samples for f in s[0]], np.int64)
-    labels = np.array([x for s in samples for x in s[1]], np.int64)
-    weights, links = np.zeros((N_FEATURES, n)), [np.ones((n, n)), np.ones((n, n))]
+    regression with half of the mentions hidden, link weights by how much more often two linked nodes have their labels than
+    chance has it."""
+    n, rng = len(KINDS) + 1, np.random.default_rng(1)
+    weights, links = np.zeros((N_FEATURES, n)), [np.ones((n, n)), 1 + SAME * np.eye(n)]
+    seen: list[tuple[int, int]] = []
+    for features, labels, linked, _ in sorted(samples, key=lambda s: (s[3], s[0])):
+        hidden = False
+        for k, (f, y) in enumerate(zip(features, labels, strict=True)):
+            if not (k and y and linked[k] and labels[k - 1] == y):  # a mention begins
+                hidden = bool(y) and rng.random() < 0.5
+            if hidden:
+                f &= (1 << N_SHAPES) - 1
+                seen += [(f, y), (f, 0)]
+            else:
+                seen.append((_told([f], [y])[0], y))
+    features, labels = np.array(seen, np.int64).reshape(-1, 2).T
     if len(labels):
         distinct, inverse, counts = np.unique(np.stack([features, labels], 1), axis=0, return_inverse=True, return_counts=True)
         x, y, share = _design(distinct[:, 0]), np.eye(n)[distinct[:, 1]], counts[:, None] / len(labels)
@@ -173,12 +195,18 @@ def fit(samples: list[tuple[list[int], list[int], list[bool], list[str]]]) -> di
         for a, b in _pairs(keys):
             links[1][ys[a], ys[b]] += 1
     chance = lambda t: t.sum(1, keepdims=True) * t.sum(0, keepdims=True) / t.sum()
-    return {"node": weights, "chain": np.clip(np.log(links[0] / chance(links[0])), -2, 2), "skip": np.clip(np.log(links[1] / chance(links[1])), -2, 2)}
+    return {"node": weights, "chain": np.log(links[0] / chance(links[0])), "skip": np.log(links[1] / chance(links[1]))}
+
+
+def _scores(model: dict[str, np.ndarray], features: np.ndarray) -> np.ndarray:
+    """Scores of each node's labels by itself. Where no pattern has found anything, none is better than plain text."""
+    out = _design(features) @ model["node"]
+    return np.where((features >> (N_SHAPES + N_AROUND) == 0)[:, None], np.minimum(out, out[:, :1]), out)
 
 
 def marginals(model: dict[str, np.ndarray], features: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
     """Label probabilities of all nodes by loopy message passing, all links at once in each round."""
-    scores = _design(features) @ model["node"]
+    scores = _scores(model, features)
     edges = np.concatenate([chain, skip]).astype(np.int64).reshape(-1, 2)
     table_ = np.concatenate([np.repeat(model["chain"][None], len(chain), 0), np.repeat(model["skip"][None], len(skip), 0)])
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
@@ -193,9 +221,11 @@ def marginals(model: dict[str, np.ndarray], features: np.ndarray, chain: np.ndar
         top = joint.max(1)
         new = top + np.log(np.exp(joint - top[:, None, :]).sum(1))
         new -= new.max(1, keepdims=True)
-        messages = 0.5 * messages + 0.5 * new
+        messages, before = 0.5 * messages + 0.5 * new, messages
         total = scores.copy()
         np.add.at(total, target, messages)
+        if np.abs(messages - before).max() < STILL:
+            break
     p = np.exp(total - total.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
@@ -232,7 +262,7 @@ def find(model: dict[str, np.ndarray], texts: list[str]) -> list[tuple[list[Span
         base, (places, own, linked, keys), first = base_spans(text), nodes_of(text), len(features)
         bases.append(base)
         nodes.append((first, places, linked))
-        features += own
+        features += _told(own, _labels(places, base))
         chain += [(first + k - 1, first + k) for k, x in enumerate(linked) if x]
         skip += [(first + a, first + b) for a, b in _pairs(keys)]
     p = marginals(model, np.array(features, np.int64), np.array(chain).reshape(-1, 2), np.array(skip).reshape(-1, 2))
@@ -247,7 +277,8 @@ def written(found: list[Span]) -> str:
 
 
 def sample(docs: DataFrame) -> list:
-    """Nodes, with the labels that the base spans give them, of FIT_DOCS documents that have any, by least hash."""
+    """Nodes, with the labels that the base spans give them, of FIT_DOCS documents that have any, by least hash. Those with more
+    than FIT_NODES are left out as a whole."""
     schema = "rank long, features array<long>, labels array<int>, linked array<boolean>, keys array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +286,9 @@ def sample(docs: DataFrame) -> list:
             rows = {x: [] for x in ("features", "labels", "linked", "keys")}
             for text in batch.column(1).to_pylist():
                 places, features, linked, keys = nodes_of(text)
-                for name, values in zip(rows, (features, _labels(places[:FIT_NODES], base_spans(text)), linked, keys), strict=True):
-                    rows[name].append(values[:FIT_NODES])
+                values_of = (features, _labels(places, base_spans(text)), linked, keys)
+                for name, values in zip(rows, values_of, strict=True):
+                    rows[name].append(values if len(places) <= FIT_NODES else [])
             types = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(rows.values(), types, strict=True))], ["rank", *rows])
 
