@@ -1,7 +1,9 @@
 """Secret scans by an inverted index of trigrams, in DataFrame operations only.
 
 Each rule's regex gives a Boolean query over trigrams. The index has a posting (trigram, document) for each trigram that
-some query asks for; postings are intersected by document, and the rule's regex then verifies the documents that are left.
+some query asks for. Postings are kept by document, as the bits of the trigrams it has, so that intersecting the posting
+lists of a rule's trigrams is a test of bits, and no list of a frequent trigram is ever in one place. The rule's regex then
+verifies the documents that are left.
 Rules without mandatory trigrams, such as runs of hex digits, are tried on every document.
 """
 
@@ -39,7 +41,7 @@ RULES = (
     Rule("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
     Rule("github", "gh[opsu]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", "xox[abps]-[A-Za-z0-9-]+", 0, 15),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{1,1000}\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0, 40),  # a bound on the header keeps the search linear
 )
 REDACTED = "[SECRET]"
 _WORD, _BLOCK = 60, 256
@@ -93,11 +95,12 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def _may_match(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """docs with the column `rules_`: the rules to verify. Each text is shuffled once, rows are unique by key but for
-    repeated ids, and the side that is hashed is the small one."""
+    """(row, text, rules_): the rows of docs as structs, so that no name of theirs clashes, and the rules to verify. Each text
+    is shuffled once, rows are unique by key but for repeated ids, and the side that is hashed is the small one."""
     found = candidates(docs, rules).select(F.col("key").alias("key_"), F.col("rules").alias("rules_"))
-    joined = docs.withColumn("key__", _key()).join(found.hint("shuffle_hash"), F.col("key__") == F.col("key_"), "left")
-    return joined.drop("key__", "key_")
+    rows = docs.select(F.struct("*").alias("row"), _key().alias("key__"))
+    joined = rows.join(found.hint("shuffle_hash"), F.col("key__") == F.col("key_"), "left")
+    return joined.select("row", F.col("row")["text"].alias("text"), "rules_")
 
 
 def _asked(k: int, rule: Rule, text: Column) -> Column:
@@ -147,7 +150,7 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Null texts count as empty; texts with a null doc_id are scanned like others; equal rows each get a row; an empty table
     gives none; further columns are ignored.
     """
-    rows = _may_match(plain(docs, "doc_id", "text"), rules)
+    rows = _may_match(plain(docs, "doc_id", "text"), rules).withColumn("doc_id", F.col("row")["doc_id"])
     text = F.coalesce("text", F.lit(""))
     each = [F.when(_asked(k, r, text), _found(text, k, r)).otherwise(F.array().cast(_SPANS)) for k, r in enumerate(rules)]
     return rows.select("doc_id", F.array_sort(F.concat(*each)).alias("found"))
@@ -164,13 +167,15 @@ def _rebuilt(least: int) -> Callable[[Column], Column]:
 
 
 def redacting(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each secret in a text replaced by REDACTED, one rule after the other; other columns as they are."""
-    rows, names = _may_match(docs, rules), docs.columns
+    """docs with each secret in a text replaced by REDACTED, one rule after the other; other columns as they are, whatever their
+    names. Null texts stay null and rows without a doc_id are treated like others; equal rows each stay; an empty table
+    stays empty. A text takes time in proportion to its length."""
+    rows = _may_match(docs, rules)
     for k, r in enumerate(rules):
         text = F.col("text")
         parts = F.struct(F.split(text, r.regex, -1).alias("gap"), F.regexp_extract_all(text, F.lit(r.regex), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(r.regex), F.lit(r.group)).alias("group"))
         rows = rows.withColumn("text", F.when(_asked(k, r, text), let(parts, _rebuilt(r.least))).otherwise(text))
-    return rows.select(*names)
+    return rows.select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")
 
 
 def _joined(found: Column, rules: tuple[Rule, ...]) -> Column:

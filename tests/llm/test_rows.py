@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lens.llm import pii
 from lens.llm.decontaminate import decontamination, removing
@@ -110,6 +111,26 @@ def test_secrets(docs, rows, nothing):
     assert shown.columns == docs.columns and sorted(((r.doc_id, r.text) for r in shown.collect()), key=repr) == sorted(((i, hidden(t)) for i, t in rows), key=repr)
 
 
+def test_clashing_columns_and_empty_tables(spark, docs, nothing):
+    names = ("key", "key_", "key__", "rules_", "rules", "row", "low", "gram", "hits", "items", "n_words", "id_", "kept", "again", "group", "node")
+    more = docs.select("doc_id", "text", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    benchmark = spark.createDataFrame([(1, "alpha0 beta1")], "item_id long, text string")
+    import corpus_pipeline
+
+    for stage in (rejecting, redacting, lambda d: removing(d, benchmark), lambda d: corpus_pipeline.ngram_join(spark, d, "")):
+        plain, wide = stage(docs.select("doc_id", "text")), stage(more)
+        assert wide.columns == more.columns
+        assert Counter((r[0], r[1]) for r in wide.collect()) == Counter(map(tuple, plain.collect()))
+        assert {tuple(r[2:]) for r in wide.collect()} == {tuple(range(len(names)))}
+        assert stage(nothing).collect() == [] and stage(nothing).columns == nothing.columns
+
+
+def test_long_texts_of_near_tokens(spark):
+    texts = ["eyJ" * 100_000 + " x.eyJ y", "token=" * 50_000, "0123456789abcde" * 20_000 + "g", "-----BEGIN " * 20_000]
+    got = secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: [tuple(x) for x in r.found] for r in got} == {k: plain_secrets(t) for k, t in enumerate(texts)}
+
+
 def test_many_secrets(spark):
     text = " ".join(f"token={k:06d}x " + "é" * (k % 5) for k in range(700))
     (row,) = secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
