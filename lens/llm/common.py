@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def in_parts(batch: pa.RecordBatch | pa.Table, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about `most` bytes of a column's text, for steps that need many bytes for each."""
+    for rows in [batch] if isinstance(batch, pa.RecordBatch) else batch.to_batches():
+        sizes = pc.fill_null(pc.binary_length(rows.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield rows.slice(a, b - a)
+
+
 def byte_set(*parts: bytes | range) -> np.ndarray:
     found = np.zeros(256, bool)
     for part in parts:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lens.llm import common
-from lens.llm.common import _TABLE, U64, discard, mixed, plain, small_batches, table, utf8, written
+from lens.llm.common import _TABLE, U64, discard, in_parts, mixed, plain, small_batches, table, utf8, written
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # anchors that a window may have; windows that an anchor may be in
@@ -261,7 +261,7 @@ def repeated_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     buckets, groups = max(64, int(total / (SPAN / 2) / ANCHORS_A_BUCKET)), max(64, total // BYTES_A_GROUP)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in in_parts(batch, "text")):
             data, at = utf8(batch.column(1))
             place, hashes, _, _ = anchors(data, at)
             bucket, rest = _bucketed(hashes, buckets)
@@ -288,7 +288,7 @@ def repeated_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     def surroundings(_: tuple, texts_: pa.Table, wanted: pa.Table) -> pa.Table:
         want = np.unique(_together(wanted.column("asked"), np.dtype("<u8")))
         out: list[tuple] = []
-        for batch in texts_.to_batches(max_chunksize=500) if len(want) else ():
+        for batch in in_parts(texts_, "text") if len(want) else ():
             data, at = utf8(batch.column("text"))
             keys, ids = batch.column("key").to_numpy().view(U64), batch.column("doc").to_numpy()
             place, hashes, low, high = anchors(data, at)
@@ -326,7 +326,7 @@ def repeated_substrings(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         rows = _together(found.column("covers"), _COVER)
         rows = rows[np.argsort(rows["key"], kind="stable")]
         out: dict[str, list] = {name: [] for name in names}
-        for batch in texts_.to_batches(max_chunksize=500):
+        for batch in in_parts(texts_, "text"):
             data, at = utf8(batch.column("text"))
             keys = batch.column("key").to_numpy().view(U64)
             first, last = np.searchsorted(rows["key"], keys), np.searchsorted(rows["key"], keys, "right")
