@@ -16,6 +16,27 @@ def _ordered(key: Column, descending: bool, nulls_first: bool) -> Column:
     return key.asc_nulls_first() if nulls_first else key.asc_nulls_last()
 
 
+#: What Spark's LIMIT and OFFSET can count.
+MOST_ROWS = 2**31 - 1
+
+
+def _far(df: DataFrame, offset: int, limit: int | None) -> DataFrame:
+    """LIMIT or OFFSET beyond MOST_ROWS, exactly: the rows are counted first, and what they don't reach is no bound at all."""
+    if df.isStreaming:
+        raise unsupported(f"LIMIT above {MOST_ROWS} over an endless source")
+    n = df.count()
+    if offset >= n:
+        return df.limit(0)
+    if offset > MOST_ROWS:
+        raise unsupported(f"OFFSET above {MOST_ROWS} into as many rows", hint="put a condition on the ordering column into WHERE")
+    df = df.offset(offset) if offset else df
+    if limit is None or limit >= n - offset:
+        return df
+    if limit > MOST_ROWS:
+        raise unsupported(f"LIMIT above {MOST_ROWS} of more rows", hint="put a condition on the ordering column into WHERE")
+    return df.limit(limit)
+
+
 def _streaming(plan: L.Plan) -> bool:
     return isinstance(plan, L.Scan) and plan.streaming or any(_streaming(p) for p in plan.below)
 
@@ -70,6 +91,8 @@ def lower(plan: L.Plan, spark: SparkSession) -> DataFrame:
     if isinstance(plan, L.Limit):
         if plan.offset and df.isStreaming:
             raise unsupported("OFFSET over an endless source")
-        df = df.offset(min(plan.offset, 2**31 - 1)) if plan.offset else df
-        return df if plan.limit is None or plan.limit > 2**31 - 1 else df.limit(plan.limit)
+        if plan.offset > MOST_ROWS or (plan.limit or 0) > MOST_ROWS:
+            return _far(df, plan.offset, plan.limit)
+        df = df.offset(plan.offset) if plan.offset else df
+        return df if plan.limit is None else df.limit(plan.limit)
     raise EngineError("XX000", f"no such node: {plan}")

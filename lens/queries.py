@@ -11,6 +11,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from lens.session import Session
+from lens.sources.catalog import CATALOGUE
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -102,7 +103,10 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "join_left": ("SELECT d.doc_id AS doc_id, l.toxic AS toxic FROM documents d LEFT OUTER JOIN labels l ON d.doc_id = l.doc_id AND l.toxic = 1", "SELECT d.doc_id, CAST(l.toxic AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND l.toxic = 1"),
     "join_null_keys": ("SELECT COUNT(*) AS n FROM nation AS a JOIN nation AS b ON nullif(a.n_regionkey, 1) = nullif(b.n_regionkey, 1)", None),
     "join_theta": ("SELECT a.n_name AS a, b.n_name AS b FROM nation AS a JOIN nation AS b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey", None),
-    "join_like": ("SELECT n.n_name AS n, r.r_name AS r FROM nation AS n JOIN region AS r ON r.r_name LIKE '%' || substr(n.n_name, 1, 1) || '%'", "SELECT n.n_name AS n, r.r_name AS r FROM nation n JOIN region r ON r.r_name LIKE '%' || substr(n.n_name, 1, 1) || '%'"),
+    "join_like": ("SELECT n.n_name AS n, p.p_name AS p FROM nation AS n JOIN part AS p ON p.p_name || p.p_partkey LIKE 'r%' || substr(n.n_name, 8)", "SELECT n.n_name AS n, p.p_name AS p FROM nation n JOIN part p ON p.p_name || CAST(p.p_partkey AS VARCHAR) LIKE 'r%' || substr(n.n_name, 8)"),
+    "join_like_left": ("SELECT r.r_name AS r, p.p_type AS p FROM region AS r LEFT JOIN part AS p ON p.p_type LIKE substr(r.r_name, 1, 1) || '%' AND p.p_partkey < 100", "SELECT r.r_name AS r, p.p_type AS p FROM region r LEFT JOIN part p ON p.p_type LIKE substr(r.r_name, 1, 1) || '%' AND p.p_partkey < 100"),
+    "limit_beyond_int": ("SELECT n_name FROM nation ORDER BY n_name LIMIT 5000000000 OFFSET 3", "SELECT n_name FROM nation ORDER BY n_name OFFSET 3"),
+    "offset_beyond_int": ("SELECT n_name FROM nation ORDER BY n_name OFFSET 3000000000", "SELECT n_name FROM nation WHERE FALSE"),
     "join_constant": ("SELECT a.r_name AS a, b.r_name AS b FROM region AS a JOIN region AS b ON TRUE", "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b"),
     "join_group": (
         "SELECT c.c_mktsegment AS segment, COUNT(*) AS n, round(SUM(o.o_totalprice), 2) AS total FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment HAVING COUNT(*) > 1 ORDER BY n DESC",
@@ -113,10 +117,8 @@ PAIRS: dict[str, tuple[str, str | None]] = {
         "SELECT o_orderpriority AS p, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' GROUP BY o_orderpriority",
     ),
     "explain": ("EXPLAIN SELECT o_orderstatus, COUNT(*) FROM orders GROUP BY o_orderstatus", "SELECT unnest(['Project (2 columns)', '  Aggregate (1 keys, 1 aggregates)', '    Scan on orders']) AS \"QUERY PLAN\""),
-    "show_sources": ("SHOW SOURCES", None),
+    "show_sources": ("SHOW SOURCES", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in CATALOGUE) + ") t(source, signature, reads)"),
 }
-#: Queries whose answer another engine can't give from the tables.
-_OWN = {"show_sources"}
 
 
 def session(spark: SparkSession, sf_dir: str, directory: str = ".", **more) -> Session:
@@ -146,6 +148,7 @@ def _fixtures() -> str:
 
 
 def _source(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    os.environ["LENS_SEEN"] = "as it is"
     return session(spark, sf_dir, _fixtures(), tail_once=True, cache=False).sql(text)
 
 
@@ -154,7 +157,7 @@ SOURCES = {
     "src_sqlite": ("SELECT name, score, active FROM sqlite('simple.db', 'users') WHERE id BETWEEN 249 AND 251", "SELECT * FROM (VALUES ('user_249', 373.5::DOUBLE, 1::BIGINT), ('user_250', 375.0::DOUBLE, 0::BIGINT), ('user_251', 376.5::DOUBLE, 1::BIGINT)) t(name, score, active)"),
     "src_files": ("SELECT name, ext, depth, is_dir FROM files('tree') WHERE NOT is_dir OR depth = 0", "SELECT * FROM (VALUES ('A.TXT', 'txt', 0::BIGINT, FALSE), ('.hidden', NULL, 0::BIGINT, FALSE), ('foo.', '', 0::BIGINT, FALSE), ('a.b', 'b', 0::BIGINT, TRUE), ('deep.rs', 'rs', 2::BIGINT, FALSE)) t(name, ext, depth, is_dir)"),
     "src_tail_once": ("SELECT line FROM tail('server.log') WHERE line LIKE '%ERROR%'", "SELECT * FROM (VALUES ('ERROR one'), ('ERROR two')) t(line)"),
-    "src_env": ("SELECT name, value FROM env", None),
+    "src_env": ("SELECT name, value FROM env WHERE name = 'LENS_SEEN' OR name = 'LENS_UNSEEN'", "SELECT 'LENS_SEEN' AS name, 'as it is' AS value"),
     "src_join": ("SELECT u.name AS name, o.owner AS owner FROM sqlite('simple.db', 'users') AS u JOIN csv('owners.csv') AS o ON u.id = o.priority", "SELECT * FROM (VALUES ('user_3', 'alice'), ('user_10', 'carol, jr'), ('user_7', NULL), ('user_1', 'bob')) t(name, owner)"),
 }
 
@@ -171,7 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: sql or text for name, (text, sql) in PAIRS.items() if name not in _OWN}
+    out = {name: sql or text for name, (text, sql) in PAIRS.items()}
     out |= {name: sql for name, (_, sql) in SOURCES.items() if sql}
     out["src_parquet"] = "SELECT r_name FROM region"
     return out

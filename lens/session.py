@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime
 import json
 import queue
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -27,6 +29,8 @@ from lens.sources.catalog import CATALOGUE, Catalog
 _FOREIGN = ("pg_catalog", "pg_class", "pg_namespace", "pg_attribute", "pg_database")
 _WIRE = {"boolean": (16, 1), "integer": (20, 8), "real": (701, 8), "text": (25, -1), "blob": (17, -1), "timestamp": (1114, 8), "unknown": (25, -1), "other": (25, -1)}
 LOG_CHARS = 300
+#: Rows of an endless query that wait for their reader.
+MOST_WAITING = 10_000
 
 
 def shown(value: Any) -> str | None:
@@ -63,13 +67,27 @@ class Result:
         return json.dumps({"kind": "rows", "columns": columns, "rows": [[shown(v) for v in r] for r in self.rows], "plan": self.plan, "tag": self.tag, "truncated": self.truncated, "micros": self.micros})
 
 
+def _endless(plan: L.Plan) -> bool:
+    return isinstance(plan, L.Scan) and plan.streaming or any(_endless(p) for p in plan.below)
+
+
+def _followed(found: L.Plan) -> tuple[L.Plan, int | None]:
+    """The plan of an endless query without its LIMIT, and the LIMIT, which ends it."""
+    if not isinstance(found, L.Limit):
+        return found, None
+    if found.offset:
+        raise unsupported("OFFSET over an endless source")
+    return found.below[0], found.limit
+
+
 def error_json(error: EngineError) -> str:
     return json.dumps({"kind": "error", "code": error.state, "message": error.message, "detail": error.detail, "hint": error.hint, "position": error.position})
 
 
 @dataclass
 class Session:
-    """spark is used as it is, but for the time zone (UTC) and ANSI arithmetic, which the dialect's rules stand on.
+    """Queries run in a copy of the given Spark session, with the time zone (UTC) and the ANSI arithmetic that the dialect's
+    rules stand on; the session that was given keeps its settings.
 
     tables: names for FROM, each a DataFrame or the path of Parquet files. log has an entry for each query that run() or
     follow() ended.
@@ -83,6 +101,7 @@ class Session:
     log: list[dict] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        self.spark = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark.conf.set("spark.sql.ansi.enabled", "true")
         self.catalog = Catalog(self.spark, self.directory, self.cache, self.tables, self.tail_once)
@@ -96,7 +115,9 @@ class Session:
 
     def sql(self, text: str) -> DataFrame | None:
         """The query as a DataFrame that hasn't run; None for an empty query."""
-        found = self.plan(text)
+        return self._frame(self.plan(text))
+
+    def _frame(self, found: L.Plan | ShowSources | Explain | None) -> DataFrame | None:
         if found is None:
             return None
         if isinstance(found, ShowSources):
@@ -119,45 +140,97 @@ class Session:
         return lines
 
     def run(self, text: str, limit: int | None = None) -> Result:
-        """All rows of a finite query, or the first `limit`."""
+        """All rows of a finite query, or the first `limit`, in memory. rows() is for results that are too large for that."""
         began, tag = time.time(), f"lens-{uuid.uuid4().hex}"
         try:
-            df = self.sql(text)
+            found = self.plan(text)
+            df = self._frame(found)
             if df is None:
                 return Result([], [], [], "", kind="empty")
             if df.isStreaming:
                 raise unsupported("run() for an endless source", hint="use follow()")
-            self.running[tag] = df
-            self.spark.addTag(tag)
-            rows = [tuple(r) for r in (df if limit is None else df.limit(limit + 1)).collect()]
-            kinds = [(f.name, kind_of(f.dataType)) for f in df.schema]
+            with self._tagged(tag, df):
+                rows = [tuple(r) for r in (df if limit is None else df.limit(limit + 1)).collect()]
             cut = limit is not None and len(rows) > limit
             rows = rows[:limit] if cut else rows
-            plan = self.plan(text)
-            out = Result(kinds, rows, plan.lines() if isinstance(plan, L.Plan) else [], f"SELECT {len(rows)}", cut, int(1e6 * (time.time() - began)))
+            out = Result(self.columns(df), rows, found.lines() if isinstance(found, L.Plan) else [], f"SELECT {len(rows)}", cut, int(1e6 * (time.time() - began)))
             self._note(text, len(rows), began, "ok", out.tag)
             return out
         except Exception as x:
             found = translated(x)
             self._note(text, 0, began, found.state, found.message)
             raise found from x
+
+    def columns(self, df: DataFrame) -> list[tuple[str, str]]:
+        return [(f.name, kind_of(f.dataType)) for f in df.schema]
+
+    def open(self, text: str) -> tuple[list[tuple[str, str]], Iterator[tuple]] | None:
+        """Columns, and the rows as they come: of a finite query a partition at a time, of an endless one until it is cancelled.
+        None for an empty query."""
+        began = time.time()
+        try:
+            found = self.plan(text)
+            df = self._frame(_followed(found)[0] if isinstance(found, L.Plan) and _endless(found) else found)
+        except Exception as x:
+            self._note(text, 0, began, (error := translated(x)).state, error.message)
+            raise error from x
+        if df is None:
+            return None
+        rows = self._follow(text, *_followed(found), df, None, lambda: False) if df.isStreaming else self._rows(text, df, began)
+        return self.columns(df), rows
+
+    def rows(self, text: str) -> Iterator[tuple]:
+        """The rows of a finite query, one partition in memory at a time."""
+        df = self.sql(text)
+        if df is not None and df.isStreaming:
+            raise unsupported("rows() for an endless source", hint="use follow()")
+        return iter(()) if df is None else self._rows(text, df, time.time())
+
+    def _rows(self, text: str, df: DataFrame, began: float) -> Iterator[tuple]:
+        count, status, detail = 0, "ok", ""
+        try:
+            with self._tagged(f"lens-{uuid.uuid4().hex}", df):
+                for row in df.toLocalIterator(prefetchPartitions=True):
+                    count += 1
+                    yield tuple(row)
+        except Exception as x:
+            status, detail = (error := translated(x)).state, error.message
+            raise error from x
+        finally:
+            self._note(text, count, began, status, detail or f"SELECT {count}")
+
+    @contextmanager
+    def _tagged(self, tag: str, df: DataFrame) -> Iterator[None]:
+        """What runs inside can be cancelled by its tag."""
+        self.running[tag] = df
+        self.spark.addTag(tag)
+        try:
+            yield
         finally:
             self.running.pop(tag, None)
             self.spark.removeTag(tag)
 
     def follow(self, text: str, seconds: float | None = None, stop: Callable[[], bool] = lambda: False) -> Iterator[tuple]:
         """Rows of an endless query as they come, until its LIMIT, `seconds` or `stop`."""
-        began, count = time.time(), 0
-        found = self.plan(text)
-        limit = found.limit if isinstance(found, L.Limit) else None
-        if isinstance(found, L.Limit):
-            if found.offset:
-                raise unsupported("OFFSET over an endless source")
-            found = found.below[0]
-        df, rows = lower(found, self.spark), queue.Queue()
+        found, limit = _followed(self.plan(text))
+        df = lower(found, self.spark)
         if not df.isStreaming:
             raise unsupported("follow() for a finite query", hint="use run()")
-        query = df.writeStream.outputMode("append").trigger(processingTime="100 milliseconds").foreachBatch(lambda batch, _: [rows.put(tuple(r)) for r in batch.toLocalIterator()]).start()
+        return self._follow(text, found, limit, df, seconds, stop)
+
+    def _follow(self, text: str, _: L.Plan, limit: int | None, df: DataFrame, seconds: float | None, stop: Callable[[], bool]) -> Iterator[tuple]:
+        began, count, ended, rows = time.time(), 0, threading.Event(), queue.Queue(MOST_WAITING)
+
+        def put(batch: DataFrame, _: int) -> None:
+            for row in batch.toLocalIterator():
+                while not ended.is_set():  # a slow reader holds the stream back
+                    try:
+                        rows.put(tuple(row), timeout=0.1)
+                        break
+                    except queue.Full:
+                        continue
+
+        query = df.writeStream.outputMode("append").trigger(processingTime="100 milliseconds").foreachBatch(put).start()
         self.running[str(query.id)] = query
         try:
             while (limit is None or count < limit) and not stop() and (seconds is None or time.time() - began < seconds):
@@ -172,6 +245,7 @@ class Session:
                 count += 1
                 yield row
         finally:
+            ended.set()
             query.stop()
             self.running.pop(str(query.id), None)
             self._note(text, count, began, "ok", f"SELECT {count}")
