@@ -33,6 +33,10 @@ LOG_CHARS = 300
 MOST_WAITING = 10_000
 
 
+def wire_type(kind: str) -> tuple[int, int]:
+    return _WIRE[kind]
+
+
 def shown(value: Any) -> str | None:
     """A value as text, the way results print it."""
     if value is None:
@@ -164,9 +168,9 @@ class Session:
     def columns(self, df: DataFrame) -> list[tuple[str, str]]:
         return [(f.name, kind_of(f.dataType)) for f in df.schema]
 
-    def open(self, text: str) -> tuple[list[tuple[str, str]], Iterator[tuple]] | None:
-        """Columns, and the rows as they come: of a finite query a partition at a time, of an endless one until it is cancelled.
-        None for an empty query."""
+    def open(self, text: str) -> tuple[list[tuple[str, str]], Iterator[tuple], bool] | None:
+        """Columns, the rows as they come, and whether they may never end: of a finite query a partition at a time, of an
+        endless one until it is cancelled. None for an empty query."""
         began = time.time()
         try:
             found = self.plan(text)
@@ -177,7 +181,7 @@ class Session:
         if df is None:
             return None
         rows = self._follow(text, *_followed(found), df, None, lambda: False) if df.isStreaming else self._rows(text, df, began)
-        return self.columns(df), rows
+        return self.columns(df), rows, df.isStreaming
 
     def rows(self, text: str) -> Iterator[tuple]:
         """The rows of a finite query, one partition in memory at a time."""
@@ -203,12 +207,12 @@ class Session:
     def _tagged(self, tag: str, df: DataFrame) -> Iterator[None]:
         """What runs inside can be cancelled by its tag."""
         self.running[tag] = df
-        self.spark.addTag(tag)
+        self.spark.sparkContext.addJobTag(tag)
         try:
             yield
         finally:
             self.running.pop(tag, None)
-            self.spark.removeTag(tag)
+            self.spark.sparkContext.removeJobTag(tag)
 
     def follow(self, text: str, seconds: float | None = None, stop: Callable[[], bool] = lambda: False) -> Iterator[tuple]:
         """Rows of an endless query as they come, until its LIMIT, `seconds` or `stop`."""
@@ -256,7 +260,7 @@ class Session:
             if hasattr(what, "isActive"):
                 what.stop()
             else:
-                self.spark.interruptTag(key)
+                self.spark.sparkContext.cancelJobsWithTag(key)
 
     def _note(self, text: str, rows: int, began: float, status: str, detail: str) -> None:
         cached = "cached" if self.catalog.hits else "indexed" if self.catalog.builds else ""
