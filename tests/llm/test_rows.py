@@ -7,9 +7,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lens.llm import pii
+from lens.llm import decontaminate, pii
+from lens.llm.common import utf8
 from lens.llm.decontaminate import decontamination, removing
 from lens.llm.pii import base_spans, find, fit, nodes_of, personal_data
 from lens.llm.quality import quality_rules, rejecting
@@ -65,7 +67,7 @@ def test_repetition_alone_rejects(spark, text_of):
             assert found[k][f"dup_chars_{n}"] == sum(len(words[i]) for i in inside if not again[i])
 
 
-def test_decontamination(spark, docs, rows, nothing):
+def test_decontamination(spark, docs, rows, nothing, monkeypatch):
     items = [(1, rows[0][1][300:500]), (2, "one two"), (3, None), (4, " .,! "), (None, rows[3][1]), (5, rows[3][1][:300]), (5, "alpha")]
     benchmark = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, doc_id string")
 
@@ -86,10 +88,38 @@ def test_decontamination(spark, docs, rows, nothing):
         want.append((doc_id, len(w), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     assert collected(decontamination(docs, benchmark)) == sorted(want, key=repr)
     assert decontamination(nothing, benchmark).count() == 0 and not any(r.contaminated for r in decontamination(docs, nothing.withColumnRenamed("doc_id", "item_id")).collect())
+    for most in (500,):  # several passes
+        monkeypatch.setattr(decontaminate, "PASS_BYTES", most)
+        assert collected(decontamination(docs, benchmark)) == sorted(want, key=repr)
+        assert decontamination(nothing, benchmark).count() == 0 and removing(docs, benchmark).count() == sum(not x[5] for x in want)
+    monkeypatch.undo()
     left = removing(docs, benchmark)
     assert left.columns == docs.columns and left.count() == sum(not x[5] for x in want)
 
 
+def test_search_of_windows():
+    """Any words against any items, also where blocks and windows repeat."""
+    rng = random.Random(9)
+    for _ in range(300):
+        letters = "ab" if rng.random() < 0.5 else "abcdef"
+        text_of_words = lambda n: " ".join(rng.choice(letters) for _ in range(n))  # noqa: B023, E731
+        items = [(rng.randint(1, 4), text_of_words(rng.randint(0, 9))) for _ in range(4)]
+        texts = [text_of_words(rng.randint(0, 40)) for _ in range(3)]
+        data, at = utf8(pa.array(texts))
+        n_words, hits = decontaminate.search(decontaminate.build(items, 5), data, at)
+        for k, text in enumerate(texts):
+            w, covered, owners = text.split(), set(), set()
+            for item, t in items:
+                x = t.split()
+                n = min(5, len(x))
+                for i in range(len(w) - n + 1 if n else 0):
+                    if any(w[i : i + n] == x[j : j + n] for j in range(len(x) - n + 1)):
+                        covered |= set(range(i, i + n))
+                        owners.add(item)
+            starts, ends, ids = hits.get(k, ([], [], set()))
+            assert n_words[k] == len(w) and ids == owners and {p for a, b in zip(starts, ends, strict=True) for p in range(a, b)} == covered
+
+
 def plain_secrets(text):
     out = []
     for k, r in enumerate(RULES):
