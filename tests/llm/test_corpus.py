@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lens.llm import ngram_join, substrings
+from lens.llm import components, ngram_join, substrings
 from lens.llm.chat import MARKS, format_turns, parse_turn, read_back, render_turn
 from lens.llm.edits import CountTree, edited_counts, usual_edits
 from lens.llm.ngram_join import divide_skip, similar_documents
@@ -172,6 +172,27 @@ def test_large_groups(spark, monkeypatch):
     assert sorted((tuple(r) for r in similar_documents(df).collect()), key=repr) == plain_components(more)
 
 
+@pytest.mark.parametrize("most", [250_000, 20])
+def test_components(spark, monkeypatch, most):
+    """Chains, stars and random links, in one task and in rounds."""
+    monkeypatch.setattr(components, "LINKS_A_TASK", most)
+    rng, least = random.Random(1), {}
+    edges = [(k, k + 1) for k in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(150)] + [(400, 400 + k) for k in range(30)]
+    rng.shuffle(edges)
+
+    def find(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        least[b] = a
+    got = {r.node: r.least for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {x: find(x) for a, b in edges for x in (a, b) if a != b}
+    assert components.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
 def test_merge_skip():
     rng = random.Random(17)
     for _ in range(300):
