@@ -391,5 +391,18 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(table(spark, sf_dir, "documents"))
 
 
+#: Bytes as hex digits, two each.
+_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+, w AS (SELECT r, doc_id, k, substr(h, 2 * k + 1, {2 * LENGTH}) AS s FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS k FROM d) t)
+, least AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s)
+, hit AS (SELECT w.r, w.k FROM w JOIN least ON w.s = least.s WHERE least.m < w.doc_id)
+, runs AS (SELECT r, k, CASE WHEN k <= lag(k) OVER (PARTITION BY r ORDER BY k) + {LENGTH} THEN 0 ELSE 1 END AS new FROM hit)
+, gone AS (SELECT r, run, min(k) AS a, max(k) + {LENGTH} AS b FROM (SELECT r, k, sum(new) OVER (PARTITION BY r ORDER BY k) AS run FROM runs) t GROUP BY r, run)
+, cuts AS (SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS n_removed, count(*) AS n_spans FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1),
+        lambda i: substr(h, 2 * coalesce(b[i], 0) + 1, 2 * (coalesce(a[i + 1], len(h) // 2) - coalesce(b[i], 0)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN cuts ON d.r = cuts.r"""
 QUERIES = {"op6_substrings": op6_substrings}
-SQL: dict[str, str] = {}
+SQL = {"op6_substrings": _SQL}
