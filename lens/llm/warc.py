@@ -152,7 +152,12 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, date: str
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives in path, in the columns of SCHEMA."""
+    """A row for each record of the archives in path, in the columns of SCHEMA. Archives whose writer didn't come to its end are
+    refused; an empty folder has no rows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if unfinished := [x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().endswith(".txt")]:
+        raise ValueError(f"the archives in {path} weren't finished: {len(unfinished)} have no name yet")
     schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in SCHEMA.split(", ")])
 
     def one(fields: dict[str, str], block: bytes) -> tuple:

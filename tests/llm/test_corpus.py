@@ -92,6 +92,10 @@ def test_warc(spark, tmp_path):
     write_archives(df, str(tmp_path / "b"), min_payload=10)
     assert {r.record_type for r in read_archives(spark, str(tmp_path / "b")).collect()} == {"response"}
     write_archives(df.limit(0), str(tmp_path / "none"))
+    some = next((tmp_path / "b").glob("*.warc.zst"))
+    some.rename(some.with_suffix("").with_suffix(".txt"))
+    with pytest.raises(ValueError, match="weren't finished"):
+        read_archives(spark, str(tmp_path / "b"))
 
 
 def test_chat(spark, tmp_path):
