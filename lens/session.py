@@ -108,6 +108,7 @@ class Session:
         self.spark = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark.conf.set("spark.sql.ansi.enabled", "true")
+        self.spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         self.catalog = Catalog(self.spark, self.directory, self.cache, self.tables, self.tail_once)
         self.running: dict[str, Any] = {}
 

@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader
 from lens import errors as e
 from lens.errors import EngineError
 
-MAX_BYTES, SNIFFED = 512 << 20, 100
+MAX_BYTES = 512 << 20
 Field = tuple[str, bool]  # text, whether it was quoted
 
 
@@ -96,8 +96,8 @@ def _fits(field: Field, kind: str) -> bool:
 
 
 def schema_of(path: str) -> list[tuple[str, str]]:
-    """Column names and types. The first SNIFFED rows say what a column looks like; a column with a later value that
-    doesn't fit is text, since a Spark column has one type (integers with real numbers among them are real)."""
+    """Column names and types. All rows are read, since a Spark column has one type: a column whose values are all integers is
+    one of integers, integers with real numbers among them are real, and anything else, or quoted, makes it text."""
     rows = records(_text(path))
     first = next(rows, None)
     if first is None:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import os
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNull, LessThan, LessThanOrEqual
 
 from lens import errors as e
 from lens.errors import EngineError
 
 ROWS_A_PART = 250_000
+_SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 _TYPES = {"integer": T.LongType(), "real": T.DoubleType(), "text": T.StringType(), "blob": T.BinaryType()}
 # The order in which parts of a declared type say its affinity, and the type that each advertises.
 _AFFINITY = (("INT", "integer"), ("CHAR", "text"), ("CLOB", "text"), ("TEXT", "text"), ("BLOB", "blob"), ("REAL", "real"), ("FLOA", "real"), ("DOUB", "real"))
@@ -111,6 +112,21 @@ class _Part(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, path: str, table: str, columns: list[str], kinds: list[str], rowids: bool) -> None:
         self.path, self.table, self.columns, self.kinds, self.rowids = path, table, columns, kinds, rowids
+        self.conditions: list[tuple[str, list]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Conditions on numbers and texts also go to the database, which then reads fewer rows, by rowid or index where it can.
+        Spark tests them again, so what the database finds in mixed columns never matters."""
+        for f in filters:
+            (name,) = f.attribute if len(f.attribute) == 1 else (None,)
+            kind = dict(zip(self.columns, self.kinds, strict=True)).get(name)
+            values = [*f.value] if isinstance(f, In) else [] if isinstance(f, IsNull) else [getattr(f, "value", None)]
+            fits = {"integer": (int, float), "real": (int, float)}.get(kind, ())
+            if isinstance(f, (*_SIGNS, In)) and name and values and all(isinstance(v, fits) and not isinstance(v, bool) and v == v for v in values):
+                self.conditions.append((f"{_name(name)} IN ({', '.join('?' * len(values))})" if isinstance(f, In) else f"{_name(name)} {_SIGNS[type(f)]} ?", values))
+            elif isinstance(f, IsNull) and name:
+                self.conditions.append((f"{_name(name)} IS NULL", []))
+        return filters
 
     def partitions(self) -> list[_Part]:
         if not self.rowids:
@@ -124,9 +140,10 @@ class _Reader(DataSourceReader):
         return [_Part(low + k * step, low + (k + 1) * step) for k in range(parts)]
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        where = "" if part.low is None else f" WHERE rowid >= {part.low} AND rowid < {part.high}"
+        asked = [x for x, _ in self.conditions] + ([] if part.low is None else [f"rowid >= {part.low} AND rowid < {part.high}"])
+        where = " WHERE " + " AND ".join(asked) if asked else ""
         with connect(self.path) as db:
-            for row in db.execute(f"SELECT {', '.join(map(_name, self.columns))} FROM {_name(self.table)}{where}" + (" ORDER BY rowid" if self.rowids else "")):
+            for row in db.execute(f"SELECT {', '.join(map(_name, self.columns))} FROM {_name(self.table)}{where}" + (" ORDER BY rowid" if self.rowids else ""), [v for _, values in self.conditions for v in values]):
                 yield tuple(None if v is None else float(v) if k == "real" and isinstance(v, int) else _shown(v) if k == "text" and not isinstance(v, str) else v for v, k in zip(row, self.kinds, strict=True))
 
 

@@ -4,8 +4,10 @@ import os
 import sqlite3
 
 import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, IsNull, LessThan
 
 from lens import EngineError, Session
+from lens.sources import sqlite
 from lens.sources.csvx import header, records, schema_of
 from lens.sources.files import extension
 from lens.sources.sqlite import affinity
@@ -89,3 +91,17 @@ def test_follow(spark, tmp_path):
         with pytest.raises(EngineError) as x:
             list(s.follow(text, seconds=5))
         assert x.value.state == "0A000"
+
+
+def test_sqlite_reads_what_is_asked_for(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "a.db") as db:
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, n REAL, mixed)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(k, k / 2 if k % 3 else None, k if k % 2 else str(k)) for k in range(1000)])
+    db.close()
+    r = sqlite._Reader(str(tmp_path / "a.db"), "t", ["id", "n", "mixed"], ["integer", "real", "text"], True)
+    asked = [GreaterThanOrEqual(("id",), 249), LessThan(("id",), 255), IsNull(("n",)), EqualTo(("mixed",), "249")]
+    assert r.pushFilters(asked) == asked and [x[0] for p in r.partitions() for x in r.read(p)] == [249, 252]  # texts are left to Spark
+    s = Session(spark, str(tmp_path))
+    assert s.run("SELECT id, mixed FROM sqlite('a.db', 't') WHERE id BETWEEN 249 AND 251 AND n IS NULL AND mixed = '249'").rows == [(249, "249")]
+    assert s.run("SELECT COUNT(*) FROM sqlite('a.db', 't') WHERE id IN (5, 7, NULL) OR n > 499.0").rows == [(2,)]
+    assert s.run("SELECT id FROM sqlite('a.db', 't') WHERE id = 7.0 AND n < 4").rows == [(7,)]
