@@ -105,3 +105,40 @@ def test_sqlite_reads_what_is_asked_for(spark, tmp_path):
     assert s.run("SELECT id, mixed FROM sqlite('a.db', 't') WHERE id BETWEEN 249 AND 251 AND n IS NULL AND mixed = '249'").rows == [(249, "249")]
     assert s.run("SELECT COUNT(*) FROM sqlite('a.db', 't') WHERE id IN (5, 7, NULL) OR n > 499.0").rows == [(2,)]
     assert s.run("SELECT id FROM sqlite('a.db', 't') WHERE id = 7.0 AND n < 4").rows == [(7,)]
+
+
+def test_endless_source_with_a_table(spark, tmp_path):
+    (tmp_path / "x.log").write_text("b\na\nb\nc\nno end")
+    (tmp_path / "o.csv").write_text("name,owner\na,ann\nb,bob\n")
+    s = Session(spark, str(tmp_path))
+    left = "SELECT t.line AS line, upper(o.owner) AS owner FROM tail('x.log') AS t LEFT JOIN csv('o.csv') AS o ON t.line = o.name LIMIT 4"
+    assert sorted(s.follow(left, 60), key=repr) == [("a", "ANN"), ("b", "BOB"), ("b", "BOB"), ("c", None)]
+    assert sorted(s.follow("SELECT DISTINCT line FROM tail('x.log') LIMIT 3", 60)) == [("a",), ("b",), ("c",)]
+    for text in ("SELECT a.name AS n FROM csv('o.csv') AS a JOIN tail('x.log') AS t ON TRUE", "SELECT line FROM tail('x.log') ORDER BY line", "SELECT COUNT(*) AS n FROM tail('x.log')", "SELECT line FROM tail('x.log') OFFSET 1"):
+        with pytest.raises(EngineError) as x:
+            list(s.follow(text, 5))
+        assert x.value.state == "0A000"
+
+
+def test_broken_databases_are_refused_or_read(tmp_path):
+    """Cut off anywhere, or with any page's bytes turned over, a database gives rows or an EngineError."""
+    with sqlite3.connect(tmp_path / "a.db") as db:
+        db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, s TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(k, "x" * (k * 37 % 5000)) for k in range(60)])
+    db.close()
+    whole = (tmp_path / "a.db").read_bytes()
+    broken = [whole[:n] for n in (0, 1, 50, 99, 100, 101, 1000, 4095, 4096, 4097, 9000, len(whole) - 1)]
+    broken += [whole[:at] + bytes(b ^ mask for b in whole[at : at + 40]) + whole[at + 40 :] for at in range(0, len(whole) - 40, len(whole) // 17) for mask in (0xFF, 0x01, 0x80, 0x55)]
+    for k, raw in enumerate(broken):
+        path = tmp_path / f"b{k}.db"
+        path.write_bytes(raw)
+        try:
+            name, columns, rowids = sqlite.described(str(path), "t")
+        except EngineError as x:
+            assert x.state in ("58030", "42P01", "0A000")
+            continue
+        r = sqlite._Reader(str(path), name, [c for c, _, _ in columns], [kind for _, kind, _ in columns], rowids)
+        try:
+            assert all(len(row) == len(columns) for p in r.partitions() for row in r.read(p))
+        except sqlite3.Error:
+            pass  # of a page that only the rows lead to: Spark's error, which run() translates
