@@ -106,3 +106,15 @@ def test_oracle(spark):
     for name, sql in queries.oracle_sql().items():
         df, relation = found[name](spark, d), db.sql(sql)
         assert rows(df.columns, df.collect()) == rows(relation.columns, relation.fetchall()), name
+
+
+def test_plans_of_scans(spark, tmp_path):
+    """Conditions and columns reach the scan, equalities make an equi-join, and ORDER BY with LIMIT keeps few rows."""
+    spark.range(100).selectExpr("CAST(id AS INT) AS a", "id / 2 AS b", "'x' AS c", "timestamp_ntz '2024-01-01 00:00:00' AS d").write.parquet(str(tmp_path / "t.parquet"))
+    s = Session(spark, tables={"t": str(tmp_path / "t.parquet")})
+    physical = lambda text: "\n".join(s.explain(text, physical=True)).partition("== Physical Plan ==")[2]
+    scan = physical("SELECT b FROM t WHERE a > 7 AND b < 40")
+    assert "GreaterThan(a,7)" in scan and "LessThan(b,40.0)" in scan and "ReadSchema: struct<a:int,b:double>" in scan
+    assert "HashJoin" in physical("SELECT x.a AS a FROM t AS x JOIN t AS y ON x.a = y.a")
+    assert "TakeOrderedAndProject" in physical("SELECT a FROM t ORDER BY b LIMIT 3")
+    assert "partial_count" in physical("SELECT c, COUNT(*) AS n FROM t GROUP BY c")
