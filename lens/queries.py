@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sqlite3
 import tempfile
 from collections.abc import Callable
@@ -129,9 +131,12 @@ def _query(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark, sf_dir).sql(text)
 
 
-def _fixtures() -> str:
-    """A folder with a CSV file, a database, a log and a directory tree."""
-    at = tempfile.mkdtemp(prefix="lens-fixtures-")
+def _fixtures(spark: SparkSession) -> str:
+    """A folder with a CSV file, a database, a log and a directory tree, until this process ends: below spark.checkpoint.dir,
+    which executors share, or of this machine where that isn't set or isn't a folder."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    at = tempfile.mkdtemp(prefix="lens-fixtures-", dir=shared if os.path.isdir(shared) else None)
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
     with open(f"{at}/owners.csv", "w") as f:
         f.write('filename,owner,priority\nmain.rs,alice,3\nlib.rs,"carol, jr",10\nREADME,,07\n"quoted.rs",bob,1\n')
     with sqlite3.connect(f"{at}/simple.db") as db:
@@ -149,7 +154,7 @@ def _fixtures() -> str:
 
 def _source(text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     os.environ["LENS_SEEN"] = "as it is"
-    return session(spark, sf_dir, _fixtures(), tail_once=True, cache=False).sql(text)
+    return session(spark, sf_dir, _fixtures(spark), tail_once=True, cache=False).sql(text)
 
 
 SOURCES = {
