@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lens.llm import components, ngram_join, substrings
+from lens.llm import common, components, ngram_join, substrings
 from lens.llm.chat import MARKS, format_turns, parse_turn, read_back, render_turn
 from lens.llm.edits import CountTree, edited_counts, usual_edits
 from lens.llm.ngram_join import divide_skip, similar_documents
@@ -176,6 +176,17 @@ def test_large_groups(spark, monkeypatch):
     assert sorted((tuple(r) for r in similar_documents(df).collect()), key=repr) == plain_components(more)
 
 
+def test_joins_by_rows(spark, monkeypatch, docs, rows):
+    """2,000 odd members of one group are 64,000 rows and some kilobytes of files: not for the driver."""
+    members = common.written(spark.range(2000).selectExpr("0L AS group", "xxhash64(id) AS node", "xxhash64(id) AS class"), "members")
+    sets = common.written(members.selectExpr("node", "cast('' AS binary) AS grams"), "grams")
+    assert "Broadcast" not in ngram_join._across(sets, members)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(common, "SENT", 0)
+    found = similar_documents(docs)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((tuple(r) for r in found.collect()), key=repr) == plain_components(rows)
+
+
 @pytest.mark.parametrize("most", [250_000, 20])
 def test_components(spark, monkeypatch, most):
     """Chains, stars and random links, in one task and in rounds."""
