@@ -62,13 +62,18 @@ def _real_text(x: Column) -> Column:
     return F.when(special.isNotNull(), special).when(power.isNull(), plain).when(power >= 0, F.concat(sign, whole)).otherwise(F.concat(sign, small))
 
 
+def time_text(at: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Years of more than four digits without a plus sign, and with a minus sign of three digits at least."""
+    return F.regexp_replace(F.date_format(at, pattern), r"\A(?:[+]|(-)0(?=[0-9]{3}-))", "$1")
+
+
 def text_of(x: Typed, position: int | None = None) -> Column:
     if x.type == "text" or x.type == "unknown":
         return x.column
     if x.type == "real":
         return _real_text(x.column)
     if x.type == "timestamp":
-        return F.date_format(instant(x), "yyyy-MM-dd HH:mm:ss")
+        return time_text(instant(x))
     if x.type in ("integer", "boolean"):
         return x.column.cast("string")
     raise mismatch(f"{x.type} has no text", position)

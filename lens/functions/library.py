@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lens import errors as e
 from lens.errors import EngineError
-from lens.functions.expressions import WHITE, Typed, common, compare, instant, mismatch, number, text_of
+from lens.functions.expressions import WHITE, Typed, common, compare, instant, mismatch, number, text_of, time_text
 from lens.functions.types import NUMERIC
 
 #: name: fewest and most arguments
@@ -81,7 +81,7 @@ def scalar(name: str, args: list[Typed], position: int, literal_digits: int | No
     if x.type not in ("integer", "timestamp", "unknown"):
         raise mismatch(f"{name}() takes seconds or a timestamp, not {x.type}", position)
     at = instant(x) if x.type == "timestamp" else F.timestamp_seconds(number(x))
-    return Typed(F.date_format(at, "yyyy-MM-dd" if name == "date" else "yyyy-MM-dd HH:mm:ss"), "text")
+    return Typed(time_text(at, "yyyy-MM-dd") if name == "date" else time_text(at), "text")
 
 
 def aggregate(name: str, x: Typed | None, distinct: bool, position: int) -> Typed:

@@ -34,6 +34,15 @@ def test_values(session, expression, value):
     assert one(session, expression) == value
 
 
+@pytest.mark.parametrize(
+    ("seconds", "text"),
+    [(253402300799, "9999-12-31 23:59:59"), (253402300800, "10000-01-01 00:00:00"), (518399999900, "18397-06-10 23:58:20"), (-62135596801, "0000-12-31 23:59:59"), (-62167219201, "-001-12-31 23:59:59"), (-99999999999, "-1199-02-15 14:13:21")],
+)
+def test_years_of_any_length(session, seconds, text):
+    assert one(session, f"datetime({seconds})") == one(session, f"CAST(CAST({seconds} AS timestamp) AS text)") == text
+    assert one(session, f"date({seconds})") == text.split()[0]
+
+
 @pytest.mark.parametrize(
     ("text", "state"),
     [
